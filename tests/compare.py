@@ -1,0 +1,75 @@
+"""Run registered queries in Spark and their SQL in DuckDB and compare.
+
+    python tests/compare.py [folder] [query ...]
+"""
+
+from __future__ import annotations
+
+import sys
+import time
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+
+ROOT = Path(__file__).resolve().parents[1]
+sys.path.insert(0, str(ROOT))
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents"
+    " embeddings pages benchmark labels conversations"
+).split()
+
+
+def duckdb_on(folder: str) -> duckdb.DuckDBPyConnection:
+    connection = duckdb.connect()
+    for table in TABLES:
+        connection.execute(
+            f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet')"
+        )
+    return connection
+
+
+def _rows(columns: list[str], rows: list[tuple]) -> Counter:
+    order = sorted(range(len(columns)), key=columns.__getitem__)
+    return Counter(tuple(row[i] for i in order) for row in rows)
+
+
+def difference(spark, connection, folder: str, query, sql: str) -> str | None:
+    """None when both give the same rows, else what differs."""
+    frame = query(spark, folder)
+    left = _rows(frame.columns, [tuple(row) for row in frame.collect()])
+    cursor = connection.execute(sql)
+    names = [column[0] for column in cursor.description]
+    right = _rows(names, cursor.fetchall())
+    if sorted(frame.columns) != sorted(names):
+        return f"columns {sorted(frame.columns)} and {sorted(names)}"
+    if left != right:
+        return (
+            f"{sum(left.values())} and {sum(right.values())} rows; only Spark:"
+            f" {list((left - right).items())[:3]}; only SQL: {list((right - left).items())[:3]}"
+        )
+    return None
+
+
+def main() -> None:
+    from ledgerlark.plans.registry import ORACLES, QUERIES
+    from ledgerlark.session import local_session
+
+    folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    chosen = sys.argv[2:] or list(QUERIES)
+    spark, connection = local_session(), duckdb_on(folder)
+    for name in chosen:
+        started = time.perf_counter()
+        try:
+            if name in ORACLES:
+                result = difference(spark, connection, folder, QUERIES[name], ORACLES[name])
+            else:
+                result = f"no SQL; {QUERIES[name](spark, folder).count()} rows"
+        except Exception as error:  # a report over all queries goes on
+            result = f"error {type(error).__name__}: {str(error)[:1500]}"
+        print(f"{name:32} {time.perf_counter() - started:6.2f} s  {result or 'same'}", flush=True)
+
+
+if __name__ == "__main__":
+    main()
