@@ -112,7 +112,7 @@ QUERIES = {
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-_NORMAL = f"""
+NORMAL_SQL = f"""
 raw AS ({RAW_SALES_SQL}),
 stores AS (SELECT DISTINCT 'S' || CAST(user_id % 10 AS VARCHAR) AS store_id FROM events),
 products AS (
@@ -139,7 +139,7 @@ normal AS (
          pay AS payment
   FROM trimmed
 )"""
-_CHECKED = f"""{_NORMAL},
+CHECKED_SQL = f"""{NORMAL_SQL},
 firsts AS (
   SELECT order_id AS r1, date AS r2, store_id AS r3, product_id AS r4, qty AS r5, amount AS r6,
          payment AS r7, min(row_number) AS row_number, count(*) - 1 AS copies_removed
@@ -189,40 +189,40 @@ summary AS (
 )"""
 
 ORACLES = {
-    "clean_normalize": f"""WITH {_NORMAL}
+    "clean_normalize": f"""WITH {NORMAL_SQL}
 SELECT row_number, order_id, date, store_id, product_id, qty, reported AS amount_cents, payment FROM normal""",
     "dedupe_first": f"""WITH raw AS ({RAW_SALES_SQL})
 SELECT order_id, date, store_id, product_id, qty, amount, payment, min(row_number) AS row_number,
        count(*) - 1 AS copies_removed
 FROM raw GROUP BY order_id, date, store_id, product_id, qty, amount, payment""",
-    "key_lookups": f"""WITH {_NORMAL}
+    "key_lookups": f"""WITH {NORMAL_SQL}
 SELECT row_number, CAST(st.store_id IS NOT NULL AS INT) AS store_known,
        CAST(pr.product_id IS NOT NULL AS INT) AS product_known, unit_price_cents
 FROM normal n LEFT JOIN stores st ON st.store_id = n.store_id
 LEFT JOIN products pr ON pr.product_id = n.product_id""",
-    "checked_sales": f"""WITH {_CHECKED}
+    "checked_sales": f"""WITH {CHECKED_SQL}
 SELECT row_number, copies_removed, cents AS amount_cents,
        CASE WHEN imputed THEN 'imputed' ELSE 'reported' END AS amount_source,
        CAST(imputed AS INT) AS is_imputed, reasons
 FROM checked""",
-    "valid_sales": f"""WITH {_CHECKED}
+    "valid_sales": f"""WITH {CHECKED_SQL}
 SELECT row_number, order_id, date, store_id, product_id, qty, cents AS amount_cents,
        CASE WHEN imputed THEN 'imputed' ELSE 'reported' END AS amount_source, payment
 FROM checked WHERE reasons = ''""",
-    "quarantine": f"""WITH {_CHECKED}
+    "quarantine": f"""WITH {CHECKED_SQL}
 SELECT row_number, CAST(json_object('amount', r6, 'date', r2, 'order_id', r1, 'payment', r7, 'product_id', r4,
        'qty', r5, 'store_id', r3) AS VARCHAR) AS raw_json, reasons
 FROM checked WHERE reasons <> ''""",
-    "reason_counts": f"WITH {_CHECKED} SELECT reason, occurrences FROM counted",
-    "ingestion_summary": f"""WITH {_CHECKED}
+    "reason_counts": f"WITH {CHECKED_SQL} SELECT reason, occurrences FROM counted",
+    "ingestion_summary": f"""WITH {CHECKED_SQL}
 SELECT summary.*, (SELECT '{{' || string_agg('"' || reason || '":' || CAST(occurrences AS VARCHAR), ',' ORDER BY reason)
        || '}}' FROM counted) AS issue_counts
 FROM summary""",
-    "quality_score": f"""WITH {_CHECKED}
+    "quality_score": f"""WITH {CHECKED_SQL}
 SELECT (200 * valid_sales + raw_sales - duplicate_rows_removed)
        // (2 * (raw_sales - duplicate_rows_removed)) AS quality_score
 FROM summary""",
-    "conservation_check": f"""WITH {_CHECKED},
+    "conservation_check": f"""WITH {CHECKED_SQL},
 sums AS (SELECT CAST(sum(occurrences) AS BIGINT) AS n FROM counted)
 SELECT raw_sales - duplicate_rows_removed AS distinct_rows, valid_sales + quarantined_sales AS outcome_rows,
        n AS reason_occurrences,

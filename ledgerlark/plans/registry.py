@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerlark.plans import batch_queries, cleaning_queries, metric_queries
+from ledgerlark.plans import batch_queries, cleaning_queries, ingest_queries, metric_queries
 
-_AREAS = (cleaning_queries, metric_queries, batch_queries)
+_AREAS = (cleaning_queries, ingest_queries, metric_queries, batch_queries)
 
 QUERIES = {name: query for area in _AREAS for name, query in area.QUERIES.items()}
 ORACLES = {name: sql for area in _AREAS for name, sql in area.ORACLES.items()}
