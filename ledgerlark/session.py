@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app_name: str = "ledgerlark") -> SparkSession:
@@ -36,3 +36,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if base is None:
         base = tempfile.mkdtemp(prefix="ledgerlark-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, purpose: str) -> DataFrame:
+    """``rows`` written once to the shared folder and read back.
+
+    For an intermediate result that several later steps read: it is computed
+    once and outlives the executors that made it.
+    """
+    folder = shared_folder(rows.sparkSession, purpose)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
