@@ -19,6 +19,8 @@ PLANNED, UNSUPPORTED, INVALID = "planned", "unsupported", "invalid"
 # Turns per block: a conversation is cut into blocks of this many turns, so
 # that a very long one is spread over many tasks.
 BLOCK_TURNS = 100_000
+# Letters per chunk of a text in which product names are looked for.
+CHUNK_LETTERS = 128
 
 
 def with_history(messages: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
@@ -111,31 +113,34 @@ def longest_product(texts: DataFrame, products: DataFrame, *ids: str) -> DataFra
         .withColumn("length", F.length("product_name"))
     )
     longest = names.agg(F.max("length")).scalar()
-    letters = texts.where(F.col("text") != "").select(
-        *ids, F.split("text", "").alias("letters"), longest.alias("longest")
+    # Texts are cut into short overlapping chunks, so that reaching a place in
+    # one stays cheap; a name starts in exactly one chunk.
+    size = F.lit(CHUNK_LETTERS)
+    chunks = (
+        texts.where(F.col("text") != "")
+        .select(
+            *ids,
+            "text",
+            F.explode(F.sequence(F.lit(1), F.length("text"), size)).alias("start"),
+        )
+        .select(*ids, F.substring("text", F.col("start"), size + longest).alias("chunk"))
     )
-    pieces = letters.select(
+    pieces = chunks.select(
         *ids,
-        F.explode(
-            F.transform(
-                "letters",
-                lambda _, i: F.array_join(F.slice("letters", i + 1, F.col("longest")), ""),
-            )
-        ).alias("piece"),
-    )
+        "chunk",
+        F.explode(F.sequence(F.lit(1), F.least(F.length("chunk"), size))).alias("place"),
+    ).withColumn("opening", F.substring("chunk", F.col("place"), F.lit(2)))
     openings = (
         names.where(F.col("length") > 1)
         .groupBy(F.substring("product_name", 1, 2).alias("opening"))
         .agg(F.collect_set("length").alias("lengths"))
     )
-    pieces = pieces.withColumn("opening", F.substring("piece", 1, 2))
-    of_length = F.explode("lengths").alias("length")
     candidates = (
         pieces.join(openings, "opening")
-        .select(*ids, "piece", of_length)
-        .select(*ids, F.left(F.col("piece"), F.col("length")).alias("product_name"))
+        .select(*ids, "chunk", "place", F.explode("lengths").alias("length"))
+        .select(*ids, F.substring("chunk", F.col("place"), F.col("length")).alias("product_name"))
     )
-    single = pieces.select(*ids, F.substring("piece", 1, 1).alias("product_name")).join(
+    single = pieces.select(*ids, F.left("opening", F.lit(1)).alias("product_name")).join(
         names.where(F.col("length") == 1).select("product_name"), "product_name", "left_semi"
     )
     best = F.struct(-F.col("length"), F.col("first_id"))
