@@ -15,13 +15,14 @@ _WIDE = "decimal(38,0)"
 
 
 def _half_up(numerator: Column, denominator: Column) -> Column:
-    """Quotient of non-negative ``numerator`` and positive ``denominator``."""
+    """Quotient of non-negative ``numerator`` and positive ``denominator``.
+
+    The remainder is taken off first, so the division has no digits to lose.
+    """
     doubled = F.lit(2).cast(_WIDE)
-    return F.call_function(
-        "div",
-        (doubled * numerator + denominator).cast(_WIDE),
-        (doubled * denominator).cast(_WIDE),
-    )
+    top = (doubled * numerator + denominator).cast(_WIDE)
+    bottom = (doubled * denominator).cast(_WIDE)
+    return ((top - top % bottom) / bottom).cast(_WIDE)
 
 
 def _signed_half_up(numerator: Column, denominator: Column) -> Column:
@@ -31,28 +32,26 @@ def _signed_half_up(numerator: Column, denominator: Column) -> Column:
 
 
 def average_cents(revenue: Column, orders: Column) -> Column:
-    return F.when(
-        orders != 0, _signed_half_up(revenue.cast(_WIDE), orders.cast(_WIDE))
-    )
+    average = _signed_half_up(revenue.cast(_WIDE), orders.cast(_WIDE))
+    return F.when(orders != 0, average.cast("bigint"))
 
 
 def percent_change(current: Column, previous: Column) -> Column:
     """Change in percent with one decimal; NULL without a usable baseline."""
     now, before = current.cast(_WIDE), previous.cast(_WIDE)
     tenths = _signed_half_up(((now - before) * F.lit(1000)).cast(_WIDE), before)
-    return F.when(current.isNotNull() & (previous != 0), tenths / F.lit(10.0))
+    return F.when(current.isNotNull() & (previous != 0), tenths.cast("double") / F.lit(10.0))
 
 
 def share_percent(part: Column, total: Column) -> Column:
     tenths = _signed_half_up((part.cast(_WIDE) * F.lit(1000)).cast(_WIDE), total.cast(_WIDE))
-    return F.when(total != 0, tenths / F.lit(10.0)).otherwise(F.lit(0.0))
+    return F.when(total != 0, tenths.cast("double") / F.lit(10.0)).otherwise(F.lit(0.0))
 
 
 def whole_percent(part: Column, whole: Column) -> Column:
     """Share in whole percent; NULL unless ``whole`` is positive."""
-    return F.when(
-        whole > 0, _half_up((part.cast(_WIDE) * F.lit(100)).cast(_WIDE), whole.cast(_WIDE))
-    )
+    percent = _half_up((part.cast(_WIDE) * F.lit(100)).cast(_WIDE), whole.cast(_WIDE))
+    return F.when(whole > 0, percent.cast("bigint"))
 
 
 def direction(current: Column, previous: Column) -> Column:
