@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerlark.fixed import MONTH_LABELS
 
 
+def day(value: date) -> Column:
+    """A date as a literal, for any year."""
+    return F.lit(value.isoformat()).cast("date")
+
+
 def previous_period(start: Column, end: Column) -> tuple[Column, Column]:
     """The range of equal length that ends the day before ``start``."""
     before = F.date_sub(start, 1)
@@ -19,12 +26,12 @@ def month_range(year: Column, month: Column) -> tuple[Column, Column]:
     return first, F.last_day(first)
 
 
-def month_of(day: Column) -> Column:
-    return F.trunc(day, "MM")
+def month_of(when: Column) -> Column:
+    return F.trunc(when, "MM")
 
 
-def previous_month(day: Column) -> Column:
-    return F.add_months(month_of(day), -1)
+def previous_month(when: Column) -> Column:
+    return F.add_months(month_of(when), -1)
 
 
 def months_between(start: Column, end: Column) -> Column:
@@ -34,9 +41,9 @@ def months_between(start: Column, end: Column) -> Column:
     )
 
 
-def month_label(day: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(label) for label in MONTH_LABELS)), F.month(day))
+def month_label(when: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(label) for label in MONTH_LABELS)), F.month(when))
 
 
-def iso(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM-dd")
+def iso(when: Column) -> Column:
+    return F.date_format(when, "yyyy-MM-dd")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.fixed import WHITESPACE
+from ledgerlark.functions.periods import day
 from ledgerlark.sources.star import SalesStar
 
 STORE_COLUMNS = ("store_name", "category", "district")
@@ -53,7 +54,7 @@ class SalesFilter:
         parts = [
             in_range
             if in_range is not None
-            else F.col("date").between(F.lit(self.start_date), F.lit(self.end_date))
+            else F.col("date").between(day(self.start_date), day(self.end_date))
         ]
         store_id = self.normal_store_id()
         if store_id is not None:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.fixed import DIMENSIONS, MAX_TOP_LIMIT, METRICS, TOP_PRODUCT_COUNT
+from ledgerlark.functions.periods import day
 from ledgerlark.functions.rounding import (
     average_cents,
     direction,
@@ -83,8 +84,8 @@ def revenue_report(star: SalesStar, where: SalesFilter) -> DataFrame:
     """``totals`` with the parameters of the query."""
     return totals(star, where).select(
         "*",
-        F.lit(where.start_date).alias("start_date"),
-        F.lit(where.end_date).alias("end_date"),
+        day(where.start_date).alias("start_date"),
+        day(where.end_date).alias("end_date"),
         F.lit(where.product_name).cast("string").alias("product_name"),
         F.lit(where.store_id).cast("string").alias("store_id"),
         F.lit(where.store_category).cast("string").alias("store_category"),
@@ -99,8 +100,8 @@ def _two_periods(
     Each fact is tagged with the range it is in (with both when they overlap).
     """
     check_range(previous_start, previous_end)
-    in_current = F.col("date").between(F.lit(where.start_date), F.lit(where.end_date))
-    in_previous = F.col("date").between(F.lit(previous_start), F.lit(previous_end))
+    in_current = F.col("date").between(day(where.start_date), day(where.end_date))
+    in_previous = F.col("date").between(day(previous_start), day(previous_end))
     rows = selected_sales(star, where, in_range=in_current | in_previous)
     if previous_end < where.start_date or where.end_date < previous_start:
         period = F.when(in_current, "current").otherwise("previous")
