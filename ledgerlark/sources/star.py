@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlark.schemas import WAREHOUSE
+
 
 @dataclass(frozen=True)
 class SalesStar:
@@ -30,7 +32,8 @@ class SalesStar:
 
 
 def warehouse_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A warehouse table with its declared schema; no file is opened to infer it."""
+    return spark.read.schema(WAREHOUSE[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def warehouse_star(spark: SparkSession, folder: str) -> SalesStar:
