@@ -15,6 +15,10 @@ from ledgerlark.fixed import WHITESPACE
 from ledgerlark.functions.periods import day
 from ledgerlark.sources.star import SalesStar
 
+# A dimension of at most this many rows (a key and a few short texts, so some
+# 100 MB at the very most) is sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
 STORE_COLUMNS = ("store_name", "category", "district")
 PRODUCT_COLUMNS = ("product_name", "product_category", "unit_price_cents")
 
@@ -66,6 +70,12 @@ def dimension_filter(column: str, value: str | None) -> Column | None:
     return F.col(column) == F.lit(value.strip(WHITESPACE)) if value else None
 
 
+def broadcast_if_small(dimension: DataFrame) -> DataFrame:
+    if dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return F.broadcast(dimension)
+    return dimension
+
+
 def with_dimensions(
     star: SalesStar,
     sales: DataFrame,
@@ -75,10 +85,11 @@ def with_dimensions(
 ) -> DataFrame:
     """Join the dimension ``columns`` to fact rows.
 
-    No join is hinted: Spark broadcasts a dimension when its size is known to
-    be under the broadcast threshold and else shuffles, splitting skewed keys
-    at run time.  A dimension without a wanted column is not joined at all
-    when the keys are verified.
+    A dimension is counted before it is broadcast, because Spark's estimate
+    for a joined or filtered dimension is far too high and would shuffle all
+    facts.  A larger one is left to Spark: a shuffle join whose skewed keys
+    are split at run time.  A dimension without a wanted column is not joined
+    at all when the keys are verified.
     """
     for key, dimension, offered, chosen in (
         ("product_id", star.products, PRODUCT_COLUMNS, product_filter),
@@ -88,9 +99,9 @@ def with_dimensions(
         if chosen is not None:
             dimension = dimension.where(chosen)
         if wanted:
-            sales = sales.join(dimension.select(key, *wanted), key)
+            sales = sales.join(broadcast_if_small(dimension.select(key, *wanted)), key)
         elif chosen is not None or not star.keys_verified:
-            sales = sales.join(dimension.select(key), key, "left_semi")
+            sales = sales.join(broadcast_if_small(dimension.select(key)), key, "left_semi")
     return sales
 
 

@@ -261,6 +261,7 @@ def store_comparison(star: SalesStar, where: SalesFilter) -> DataFrame:
         rows.groupBy("store_id")
         .agg(revenue(), orders())
         .join(names, "store_id")
+        .withColumn("total_cents", total)
         .select(
             "store_id",
             "store_name",
@@ -268,7 +269,7 @@ def store_comparison(star: SalesStar, where: SalesFilter) -> DataFrame:
             "district",
             "revenue_cents",
             "order_count",
-            share_percent(F.col("revenue_cents"), total).alias("share_percent"),
+            share_percent(F.col("revenue_cents"), F.col("total_cents")).alias("share_percent"),
         )
         .orderBy(F.desc("revenue_cents"), F.asc("store_id"))
     )

@@ -135,18 +135,21 @@ def longest_product(texts: DataFrame, products: DataFrame, *ids: str) -> DataFra
         .groupBy(F.substring("product_name", 1, 2).alias("opening"))
         .agg(F.collect_set("length").alias("lengths"))
     )
+    single = names.where(F.col("length") == 1).select(
+        F.col("product_name").alias("letter"), F.array("length").alias("one")
+    )
+    nothing = F.array().cast("array<int>")
+    lengths = F.concat(F.coalesce("lengths", nothing), F.coalesce("one", nothing))
     candidates = (
-        pieces.join(openings, "opening")
-        .select(*ids, "chunk", "place", F.explode("lengths").alias("length"))
+        pieces.withColumn("letter", F.substring("opening", 1, 1))
+        .join(openings, "opening", "left")
+        .join(single, "letter", "left")
+        .select(*ids, "chunk", "place", F.explode(lengths).alias("length"))
         .select(*ids, F.substring("chunk", F.col("place"), F.col("length")).alias("product_name"))
     )
-    single = pieces.select(*ids, F.left("opening", F.lit(1)).alias("product_name")).join(
-        names.where(F.col("length") == 1).select("product_name"), "product_name", "left_semi"
-    )
     best = F.struct(-F.col("length"), F.col("first_id"))
     return (
-        candidates.unionByName(single)
-        .distinct()
+        candidates.distinct()
         .join(names, "product_name")
         .groupBy(*ids)
         .agg(F.min_by("product_name", best).alias("product_name"))

@@ -51,14 +51,18 @@ def _previous_periods(star: SalesStar) -> DataFrame:
 
 def _product_averages(star: SalesStar) -> DataFrame:
     """Average order value and refund share of every product."""
-    per_product = star.sales.groupBy("product_id").agg(metrics.revenue(), metrics.orders())
     total = star.sales.agg(F.sum("amount_cents")).scalar()
+    per_product = (
+        star.sales.groupBy("product_id")
+        .agg(metrics.revenue(), metrics.orders())
+        .withColumn("total_cents", total)
+    )
     cents = F.col("revenue_cents")
     return per_product.select(
         "product_id",
         average_cents(cents, F.col("order_count")).alias("average_cents"),
         average_cents(-cents, F.col("order_count")).alias("average_refund_cents"),
-        share_percent(cents, total).alias("share_percent"),
+        share_percent(cents, F.col("total_cents")).alias("share_percent"),
     )
 
 

@@ -36,7 +36,7 @@ def small_star(spark) -> SalesStar:
         SALES,
     )
     stores = spark.createDataFrame(
-        [("S01", "Makai Poke", "轻食", "上海·静安"), ("S02", "Super Souper", "拉面", "上海·徐汇")],
+        [("S01", "Harbour Bowl", "轻食", "上海·静安"), ("S02", "Noodle House", "拉面", "上海·徐汇")],
         STORES,
     )
     products = spark.createDataFrame(

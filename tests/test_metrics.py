@@ -37,8 +37,8 @@ def test_rankings(small_star):
     ]
     stores = metrics.store_comparison(small_star, TWO_DAYS)
     assert rows(stores.select("store_name", "revenue_cents", "share_percent")) == [
-        ("Makai Poke", 3000, 75.0),
-        ("Super Souper", 1000, 25.0),
+        ("Harbour Bowl", 3000, 75.0),
+        ("Noodle House", 1000, 25.0),
     ]
     assert rows(metrics.top_entities(small_star, "store_category", TWO_DAYS, 5)) == [
         ("轻食", 3000, 2),
