@@ -29,11 +29,13 @@ def local_session(cores: str = "8", app_name: str = "ledgerlark") -> SparkSessio
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the shared folder that the cluster names.
 
-    Only where ``spark.checkpoint.dir`` is unset (a single-machine test) is a
-    local temporary folder used.
+    Where ``spark.checkpoint.dir`` is unset, a temporary folder serves a local
+    master, whose tasks all see it; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="ledgerlark-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
