@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.session import shared_folder, stored
 
-__all__ = ["located", "numbered", "shared_folder", "stored", "table", "workers_see_package"]
+__all__ = ["PLACE", "located", "numbered", "shared_folder", "small_side", "stored", "table", "workers_see_package"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -37,16 +37,22 @@ def workers_see_package(spark: SparkSession) -> None:
         known["PYTHONPATH"] = f"{ROOT}:{path}" if path else ROOT
 
 
+#: The place of a row: its file (hashed) and its number there.
+PLACE = ["_row_file", "_row_place"]
+
+
 def located(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``row_file`` and ``row_place``: the file (hashed) and the place in it.
+    """``rows`` with the columns ``PLACE``; rows that have them stay as they are.
 
     Unlike numbers given by a scan, these stay the same however a later job
     splits the files, so several jobs can refer to the same row.  Rows that do
     not come straight from files are written to the shared folder first.
     """
+    if set(PLACE) <= set(rows.columns):
+        return rows
     where = [
-        F.xxhash64("_metadata.file_path").alias("row_file"),
-        F.col("_metadata.row_index").alias("row_place"),
+        F.xxhash64("_metadata.file_path").alias(PLACE[0]),
+        F.col("_metadata.row_index").alias(PLACE[1]),
     ]
     try:
         return rows.select("*", *where)
@@ -83,3 +89,17 @@ def numbered(rows: DataFrame, order: list[str | Column], number: str) -> DataFra
         .withColumn(number, F.col("_start") + place)
         .drop("_part", "_place", "_start")
     )
+
+
+#: Bytes that a broadcast table may have; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
+
+
+def small_side(rows: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """``rows`` marked for broadcast if they are small, else as they are.
+
+    ``row_bytes`` is what a row takes, or a column of it; the sum decides.
+    """
+    each = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    total = rows.agg(F.sum(each + 16)).first()[0] or 0
+    return F.broadcast(rows) if total <= BROADCAST_BYTES else rows

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import sharding, simhash
+from ledgerlark.llm import exact_dedup, sharding, simhash
 from ledgerlark.llm.common import table
 
 SHARDS = 24
@@ -20,9 +20,28 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
+
+
+OP9_SQL = r"""
+WITH rows AS (
+    SELECT doc_id, coalesce(length(text), 0) AS n,
+           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content
+    FROM documents),
+kept AS (
+    SELECT *, count(*) OVER (PARTITION BY content) AS group_size,
+           first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place
+    FROM rows WINDOW w AS (PARTITION BY content ORDER BY n DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(content) AS text_sha256 FROM kept
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op4_simhash": op4_simhash,
+    "op9_exact_dedup": op9_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_exact_dedup": OP9_SQL,
+}

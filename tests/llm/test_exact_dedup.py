@@ -1,0 +1,64 @@
+from __future__ import annotations
+
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from ledgerlark.llm import exact_dedup
+from tests.llm.helpers import DOCS, awkward, empty
+
+
+def plain(rows, weak=False):
+    groups = {}
+    for place, (doc, text) in enumerate(rows):
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", text or ""), []).append((doc, text or "", place))
+    out = []
+    for content, members in groups.items():
+        keep = min(members, key=lambda m: (-len(m[1]), m[0] is None, m[0] or 0, m[2]))
+        same = [m for m in members if m[:1] == keep[:1] and m[1] == keep[1]]
+        for doc, text, place in members:
+            out.append((doc, keep[0], len(members), hashlib.sha256(content.encode()).hexdigest()))
+    return sorted(map(str, out))
+
+
+def documents(spark):
+    more = spark.createDataFrame(
+        [(20, "a b c", "en", "s", 5), (19, "ab c", "en", "s", 4), (18, "a  b\tc", "en", "s", 6),
+         (17, " a b c ", "en", "s", 7), (16, " abc   ", "en", "s", 7)], DOCS)
+    return awkward(spark, 3).select("doc_id", "text", "lang", "source", "n_chars").unionByName(more)
+
+
+def test_against_plain_groups(spark):
+    docs = documents(spark)
+    rows = exact_dedup.exact_duplicates(docs).collect()
+    want = plain([(r.doc_id, r.text) for r in docs.collect()])
+    assert sorted(str((r.doc_id, r.keep_id, r.group_size, r.text_sha256)) for r in rows) == want
+    kept = [r for r in rows if r.kept]
+    assert len(kept) == len({r.text_sha256 for r in rows})
+    assert all(r.doc_id == r.keep_id for r in kept)
+
+
+def test_bytes_decide_when_digests_collide(spark):
+    docs = documents(spark)
+    weak = lambda text: F.unhex(F.substring(F.sha2(text, 256), 1, 2)).cast("binary")
+    constant = lambda text: F.lit("same").cast("binary")
+    for digest in (weak, constant):
+        rows = exact_dedup.groups_of_equals(docs, digest=digest).collect()
+        want = [row.rsplit(",", 1)[0] for row in plain([(r.doc_id, r.text) for r in docs.collect()])]
+        assert sorted(str((r.doc_id, r.keep_id, r.group_size))[:-1] for r in rows) == sorted(want)
+
+
+def test_stage_keeps_columns_and_one_row_each(spark, tmp_path):
+    docs = documents(spark)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    left = exact_dedup.without_duplicates(docs)
+    assert left.columns == docs.columns
+    texts = [re.sub(r"\s", "", r.text or "") for r in left.collect()]
+    assert len(texts) == len(set(texts)) == len({re.sub(r"\s", "", r.text or "") for r in docs.collect()})
+
+
+def test_empty(spark):
+    assert exact_dedup.exact_duplicates(empty(spark)).count() == 0
+    assert exact_dedup.without_duplicates(empty(spark)).count() == 0
