@@ -53,19 +53,21 @@ def difference(spark, connection, folder: str, query, sql: str) -> str | None:
 
 
 def main() -> None:
-    from ledgerlark.plans.registry import ORACLES, QUERIES
+    from __spark_entry__ import oracle_sql, queries
     from ledgerlark.session import local_session
 
+    oracles, known = oracle_sql(), queries()
+
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    chosen = sys.argv[2:] or list(QUERIES)
+    chosen = sys.argv[2:] or list(known)
     spark, connection = local_session(), duckdb_on(folder)
     for name in chosen:
         started = time.perf_counter()
         try:
-            if name in ORACLES:
-                result = difference(spark, connection, folder, QUERIES[name], ORACLES[name])
+            if name in oracles:
+                result = difference(spark, connection, folder, known[name], oracles[name])
             else:
-                result = f"no SQL; {QUERIES[name](spark, folder).count()} rows"
+                result = f"no SQL; {known[name](spark, folder).count()} rows"
         except Exception as error:  # a report over all queries goes on
             result = f"error {type(error).__name__}: {str(error)[:1500]}"
         print(f"{name:32} {time.perf_counter() - started:6.2f} s  {result or 'same'}", flush=True)
