@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import exact_dedup, sharding, simhash
+from ledgerlark.llm import exact_dedup, quality, sharding, simhash
 from ledgerlark.llm.common import table
 
 SHARDS = 24
@@ -20,6 +20,53 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"))
+
+
+OP7_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t
+    FROM documents),
+w AS (
+    SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+    FROM d),
+windows AS (SELECT rid, i, ws[i:i + 4] AS v FROM w, unnest(range(1, len(ws) - 3)) AS r(i)),
+again AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, v) AS c FROM windows) WHERE c > 1),
+covered AS (
+    SELECT rid, sum(least(5, coalesce(following - i, 5))) AS n
+    FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS following FROM again) GROUP BY rid),
+lines AS (SELECT rid, host, t, unnest(ls) AS l, generate_subscripts(ls, 1) AS place FROM w),
+plain AS (
+    SELECT rid, host, t, place, len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words,
+           translate(trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '123456789', '000000000') AS l
+    FROM lines),
+around AS (
+    SELECT *, lag(l) OVER (PARTITION BY rid ORDER BY place) AS before,
+           lead(l) OVER (PARTITION BY rid ORDER BY place) AS after
+    FROM plain),
+frequent AS (
+    SELECT host, l FROM around GROUP BY host, l
+    HAVING count(DISTINCT t) > 20
+       AND greatest(count(DISTINCT before), count(DISTINCT after)) >= 0.5 * count(DISTINCT t)),
+removed AS (SELECT rid, sum(words) AS n FROM plain JOIN frequent USING (host, l) GROUP BY rid),
+counted AS (
+    SELECT rid, doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+           CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+           CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+           CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+           CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+           CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed_words
+    FROM w LEFT JOIN covered c USING (rid) LEFT JOIN removed r USING (rid)),
+base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_words - n_removed_words >= 10
+           AND n_words - n_removed_words >= 0.3 * n_words AS kept, n_removed_words
+FROM base
+"""
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
@@ -39,9 +86,11 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(content) AS text_s
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op4_simhash": op4_simhash,
+    "op7_quality": op7_quality,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_quality": OP7_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
