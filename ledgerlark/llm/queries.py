@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import exact_dedup, quality, sharding, simhash
+from ledgerlark.llm import exact_dedup, pii, quality, sharding, simhash
 from ledgerlark.llm.common import table
 
 SHARDS = 24
@@ -67,6 +67,10 @@ FROM base
 """
 
 
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op4_simhash": op4_simhash,
     "op7_quality": op7_quality,
+    "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
