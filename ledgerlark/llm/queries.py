@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import exact_dedup, pii, quality, sharding, simhash
+from ledgerlark.llm import exact_dedup, packing, pii, quality, sharding, simhash
 from ledgerlark.llm.common import table
 
 SHARDS = 24
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,12 +89,17 @@ kept AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(content) AS text_sha256 FROM kept
 """
 
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), BYTE_BPE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op4_simhash": op4_simhash,
     "op7_quality": op7_quality,
     "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import stored, workers_see_package
+from ledgerlark.llm.common import PLACE, located, small_side, stored, workers_see_package
 
 #: Contract of the near-duplicate stage.
 SHINGLE_WORDS = 4
@@ -245,21 +245,35 @@ def near_duplicates(
     have fingerprint 0 and link like any other.  Copies meet as one
     fingerprint.  An empty table gives no rows.
     """
-    prints = stored(
-        with_fingerprints(
-            docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_text", "value", words
-        ).drop("_text"),
-        "fingerprints",
-    )
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    prints = stored(with_fingerprints(narrow, "_text", "value", words).drop("_text"), "fingerprints")
     return prints.join(classes(prints, radius), "value").select(
         "doc_id", F.lower(F.lpad(F.hex("value"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(value, component_id) of each distinct fingerprint of ``prints`` (doc_id, value)."""
+    """(value, root, component_id) of each distinct fingerprint of ``prints`` (doc_id, value)."""
     distinct = stored(prints.groupBy("value").agg(F.min("doc_id").alias("least")), "distinct")
     linked = components(links(distinct.select("value"), radius))
     grouped = distinct.join(linked, "value", "left").withColumn("root", F.coalesce("root", "value"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return grouped.join(least, "root").select("value", "component_id")
+    return grouped.join(least, "root").select("value", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id, nulls last, first in place.
+
+    All columns stay.  Only places and fingerprints are joined; texts move only
+    if the places of rows that go are too many to broadcast.
+    """
+    rows = located(docs)
+    narrow = rows.select(*PLACE, F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    prints = stored(with_fingerprints(narrow, "_text", "value").drop("_text"), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *PLACE)
+    grouped = stored(prints.join(classes(prints).select("value", "root"), "value").select("root", rank.alias("rank")), "components")
+    stays = grouped.groupBy("root").agg(F.min("rank").alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = stored(
+        grouped.join(stays, "root").where(~F.col("rank").eqNullSafe(F.col("stays"))).select(*[f"rank.{name}" for name in PLACE]), "near-copies"
+    )
+    return rows.join(small_side(gone, 16), PLACE, "left_anti").select(*docs.columns)
