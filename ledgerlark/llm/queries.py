@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import exact_dedup, packing, pii, quality, sharding, simhash
+from ledgerlark.llm import exact_dedup, packing, pii, quality, sharding, simhash, warc
 from ledgerlark.llm.common import table
 
 SHARDS = 24
@@ -22,6 +22,26 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
+OP5_SQL = """
+WITH d AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+sums AS (SELECT *, from_hex(sha1(html)) AS raw, max(page_id) OVER (PARTITION BY html) AS largest FROM d),
+bits AS (
+    SELECT *, list_transform(range(1, 21), lambda i: lpad(bin(CAST('0x' || substring(hex(raw), CAST(2 * i - 1 AS INT), 2) AS INT)), 8, '0')) AS b
+    FROM sums),
+joined AS (SELECT *, array_to_string(b, '') AS w FROM bits)
+SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + list_sum(list_transform(range(0, 5), lambda k: CAST(substring(w, CAST(5 * i + k + 1 AS INT), 1) AS INT) * CAST(pow(2, 4 - k) AS INT)))::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = largest THEN NULL ELSE largest END AS refers_to
+FROM joined
+"""
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"))
 
@@ -96,6 +116,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op4_simhash": op4_simhash,
+    "op5_warc": op5_warc,
     "op7_quality": op7_quality,
     "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
@@ -103,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_warc": OP5_SQL,
     "op7_quality": OP7_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
