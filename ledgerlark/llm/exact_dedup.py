@@ -17,8 +17,14 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import PLACE, located, shared_folder, small_side, stored
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk, without files set aside before they are needed: with many partitions of
+#: little state these would take far more room than the state.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 #: Files of the digest log that one micro-batch takes at most.
 FILES_PER_BATCH = 1000
@@ -46,8 +52,9 @@ def _rank() -> Column:
 def keyed_state(spark: SparkSession, log: str, schema) -> DataFrame:
     """(digest, keep, group_size) after the stream over the folder ``log`` has seen all its rows."""
     checkpoint = shared_folder(spark, "dedup-state")
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     try:
         arrivals = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(log)
         counted = arrivals.groupBy("digest").agg(
@@ -62,10 +69,11 @@ def keyed_state(spark: SparkSession, log: str, schema) -> DataFrame:
         )
         stream.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     held = spark.read.format("statestore").load(checkpoint)
     keep, rows = held.schema["value"].dataType.names
     return held.select(
