@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import exact_dedup, packing, pii, quality, sharding, simhash, warc
+from ledgerlark.llm import bpe, exact_dedup, packing, pii, quality, sharding, simhash, warc
 from ledgerlark.llm.common import table
 
 SHARDS = 24
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -18,6 +19,10 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), SHARDS)
 
 
+def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encoded(table(spark, folder, "documents"), WORD_BPE)
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -115,6 +120,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
     "op5_warc": op5_warc,
     "op7_quality": op7_quality,
