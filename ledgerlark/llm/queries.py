@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import bpe, exact_dedup, packing, pii, quality, sharding, simhash, warc
+from ledgerlark.llm import bpe, exact_dedup, lm, packing, pii, quality, sharding, simhash, warc
 from ledgerlark.llm.common import table
 
 SHARDS = 24
@@ -47,6 +47,10 @@ FROM joined
 """
 
 
+def op6_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.language_scores(table(spark, folder, "documents"))
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"))
 
@@ -123,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
     "op5_warc": op5_warc,
+    "op6_lm": op6_lm,
     "op7_quality": op7_quality,
     "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,

@@ -1,0 +1,94 @@
+from __future__ import annotations
+
+import math
+import random
+import zlib
+from collections import Counter
+
+import pytest
+
+from ledgerlark.llm import lm
+from tests.llm.helpers import DOCS, awkward, empty
+
+
+def tokens(text):
+    text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for space in "\t\n\x0b\x0c\r":
+        text = text.replace(space, " ")
+    return [w for w in text.split(" ") if w] + ["</s>"]
+
+
+def plain_model(texts):
+    """Modified Kneser-Ney over pairs, by the textbook."""
+    words, pairs = Counter(), Counter()
+    for text in texts:
+        own = tokens(text)
+        words.update(own)
+        pairs.update(zip(["<s>", *own], own))
+    first = Counter()
+    for (u, _), c in pairs.items():
+        first[u] += c
+    before = Counter(v for _, v in pairs)
+    d = lm.discounts([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)])
+    e = lm.discounts([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)])
+    size = len(words)
+    spare = sum(e[min(c, 3)] for c in before.values()) / len(pairs) if pairs else 1.0
+
+    def lower(v):
+        return (max(before[v] - e[min(before[v], 3)], 0) / len(pairs) if pairs else 0) + spare / (size + 1)
+
+    def p(u, v):
+        if not first[u]:
+            return lower(v)
+        left = sum(d[min(c, 3)] for (a, _), c in pairs.items() if a == u) / first[u]
+        c = pairs[u, v]
+        return max(c - d[min(c, 3)], 0) / first[u] + left * lower(v)
+
+    return words, p, lower
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    pick = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(pick.choices(vocabulary, [1 / (k + 1) for k in range(40)], k=pick.randint(0, 60))), "en", "s", 1) for i in range(60)]
+    rows += [(100, "unseen W1 words\tw2", "en", "s", 1)]
+    return spark.createDataFrame(rows, DOCS).unionByName(
+        awkward(spark).where("length(text) < 1000 or text is null").select("doc_id", "text", "lang", "source", "n_chars"))
+
+
+def test_scores_against_the_textbook(spark, docs, monkeypatch):
+    rows = docs.collect()
+    out = lambda doc: zlib.crc32(str(doc).encode() if doc is not None else b"") % 10 == 0
+    words, p, _ = plain_model([r.text for r in rows if not out(r.doc_id)])
+    total, size = sum(words.values()), len(words)
+    want = []
+    for r in rows:
+        own = tokens(r.text)
+        base = sum(math.log10((words[w] + 0.1) / (total + 0.1 * (size + 1))) for w in own)
+        score = sum(math.log10(p(u, v)) for u, v in zip(["<s>", *own], own))
+        want.append((str(r.doc_id), out(r.doc_id), len(own), sum(words[w] > 0 for w in own), total, base, score))
+    got = [(str(r.doc_id), *r[1:7]) for r in lm.language_scores(docs).collect()]
+    key = lambda x: (*map(str, x[:5]), round(x[5], 6))
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
+def test_probabilities_sum_to_one(docs):
+    _, p, lower = plain_model([r.text for r in docs.collect()])
+    words = plain_model([r.text for r in docs.collect()])[0]
+    assert sum(map(lower, [*words, "never"])) == pytest.approx(1)
+    assert sum(p("w1", v) for v in [*words, "never"]) == pytest.approx(1)
+
+
+def test_hot_words_are_dealt_by_the_second_word():
+    import numpy as np
+
+    second = np.arange(10_000)
+    hot = lm.pair_bucket(np.full(10_000, 7), second, np.full(10_000, 20 * lm.HOT), 4)
+    cold = lm.pair_bucket(np.full(10_000, 7), second, np.full(10_000, 5), 4)
+    assert len(set(hot.tolist())) > 8 and len(set(cold.tolist())) == 1
+
+
+def test_empty(spark):
+    assert lm.language_scores(empty(spark)).count() == 0
