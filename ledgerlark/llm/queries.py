@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import bpe, exact_dedup, lm, packing, pii, quality, sharding, simhash, warc
+from ledgerlark.llm import bpe, exact_dedup, extraction, lm, packing, pii, quality, sharding, simhash, warc
 from ledgerlark.llm.common import table
 
 SHARDS = 24
@@ -19,6 +19,10 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), SHARDS)
 
 
+def op2_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extracted(table(spark, folder, "pages"))
+
+
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded(table(spark, folder, "documents"), WORD_BPE)
 
@@ -124,6 +128,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_extraction": op2_extraction,
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
     "op5_warc": op5_warc,
