@@ -12,7 +12,8 @@ PRODUCT_FIELDS = ("product_id", "product_name", "product_category", "unit_price"
 REQUIRED_FILES = ("stores.csv", "products.csv", "sales.csv")
 
 # --- fixed values: cleaning -------------------------------------------------
-RULE_VERSION = "2026-08-19.1"
+# The version of this engine's own rules.
+RULE_VERSION = "ledgerlark-2"
 CURRENCY_SIGN = "¥"
 # Every character Unicode calls white space, so padded cells compare equal.
 WHITESPACE = (
@@ -40,14 +41,6 @@ REASON_CODES = (
     "zero_quantity_nonzero_amount",
     "zero_value_transaction",
 )
-QUALITY_RULES = (
-    ("duplicate_row", "完全重复记录", "保留首次出现的记录"),
-    ("normalized_identifier", "ID 空格与大小写", "去空格并统一大写"),
-    ("normalized_date", "三种日期格式", "统一为 YYYY-MM-DD"),
-    ("normalized_currency", "金额货币符号", "移除 ¥ 并保存为整数分"),
-    ("imputed_amount", "安全补全金额", "以有效数量乘商品单价补全"),
-    ("quarantined_row", "歧义或脏外键", "隔离并记录全部原因"),
-)
 
 # --- fixed values: metrics --------------------------------------------------
 METRICS = ("revenue", "order_count", "average_order_value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.fixed import ALL_DATA_LABEL, QUALITY_RULES, RULE_VERSION
+from ledgerlark.fixed import ALL_DATA_LABEL
 from ledgerlark.functions.periods import month_label, months_between
 from ledgerlark.sources.star import SalesStar
 
@@ -50,10 +50,3 @@ def calendar_presets(star: SalesStar) -> DataFrame:
     )
     return whole.unionByName(months)
 
-
-def quality_rules(spark: SparkSession) -> DataFrame:
-    """What each cleaning rule does, for the current rule version."""
-    return spark.createDataFrame(
-        [(RULE_VERSION, *rule) for rule in QUALITY_RULES],
-        "rule_version string, code string, label string, action string",
-    )

@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 from ledgerlark.fixed import SALES_FIELDS
 from ledgerlark.functions.parsing import parse_cents, parse_date, parse_whole
 from ledgerlark.functions.text import normal_id, strip
+from ledgerlark.operators.filters import broadcast_if_small
+
+
+def repeated_keys(table: DataFrame, key: str) -> DataFrame:
+    """Key values that more than one row has, and how many rows."""
+    return table.groupBy(key).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
 
 
 def drop_exact_duplicates(raw: DataFrame) -> DataFrame:
@@ -44,7 +50,11 @@ def normalized(raw: DataFrame) -> DataFrame:
 
 
 def with_key_lookups(rows: DataFrame, stores: DataFrame, products: DataFrame) -> DataFrame:
-    """Look up store and product; unmatched rows stay, with NULLs."""
+    """Look up store and product; unmatched rows stay, with NULLs.
+
+    Both are measured before they are broadcast: one blank or usual key may
+    hold most rows.
+    """
     known_stores = stores.select(
         F.col("store_id").alias("clean_store_id"), F.lit(True).alias("store_known")
     )
@@ -53,8 +63,8 @@ def with_key_lookups(rows: DataFrame, stores: DataFrame, products: DataFrame) ->
         "unit_price_cents",
         F.lit(True).alias("product_known"),
     )
-    return rows.join(known_stores, "clean_store_id", "left").join(
-        prices, "clean_product_id", "left"
+    return rows.join(broadcast_if_small(known_stores), "clean_store_id", "left").join(
+        broadcast_if_small(prices), "clean_product_id", "left"
     )
 
 

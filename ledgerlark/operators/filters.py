@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, timedelta
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +15,8 @@ from ledgerlark.fixed import WHITESPACE
 from ledgerlark.functions.periods import day
 from ledgerlark.sources.star import SalesStar
 
-# A dimension of at most this many rows (a key and a few short texts, so some
-# 100 MB at the very most) is sent to every executor.
-BROADCAST_ROWS = 1_000_000
+# A dimension of at most this many bytes is sent to every executor.
+BROADCAST_BYTES = 64 << 20
 
 STORE_COLUMNS = ("store_name", "category", "district")
 PRODUCT_COLUMNS = ("product_name", "product_category", "unit_price_cents")
@@ -70,10 +69,27 @@ def dimension_filter(column: str, value: str | None) -> Column | None:
     return F.col(column) == F.lit(value.strip(WHITESPACE)) if value else None
 
 
+def bytes_of(rows: DataFrame) -> int:
+    """About how many bytes the rows take: their texts, and 16 for each other cell and row."""
+    texts = [name for name, kind in rows.dtypes if kind == "string"]
+    fixed = 16 * (1 + len(rows.columns) - len(texts))
+    each = reduce(add, (F.coalesce(F.octet_length(name), F.lit(0)) + 8 for name in texts), F.lit(fixed))
+    return rows.agg(F.sum(each.cast("bigint"))).first()[0] or 0
+
+
 def broadcast_if_small(dimension: DataFrame) -> DataFrame:
-    if dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return F.broadcast(dimension)
-    return dimension
+    """Marked for broadcast if its bytes allow it; else a shuffle join, whose hot keys Spark splits."""
+    return F.broadcast(dimension) if bytes_of(dimension) <= BROADCAST_BYTES else dimension
+
+
+def star_side(star: SalesStar, key: str, part: DataFrame) -> DataFrame:
+    """``part`` (columns or rows of a dimension), marked for broadcast if small.
+
+    The whole dimension is measured once for a star; a part of a small one is small.
+    """
+    if key not in star.measured:
+        star.measured[key] = bytes_of(star.products if key == "product_id" else star.stores)
+    return F.broadcast(part) if star.measured[key] <= BROADCAST_BYTES else broadcast_if_small(part)
 
 
 def with_dimensions(
@@ -85,7 +101,7 @@ def with_dimensions(
 ) -> DataFrame:
     """Join the dimension ``columns`` to fact rows.
 
-    A dimension is counted before it is broadcast, because Spark's estimate
+    A dimension is measured before it is broadcast, because Spark's estimate
     for a joined or filtered dimension is far too high and would shuffle all
     facts.  A larger one is left to Spark: a shuffle join whose skewed keys
     are split at run time.  A dimension without a wanted column is not joined
@@ -99,9 +115,9 @@ def with_dimensions(
         if chosen is not None:
             dimension = dimension.where(chosen)
         if wanted:
-            sales = sales.join(broadcast_if_small(dimension.select(key, *wanted)), key)
+            sales = sales.join(star_side(star, key, dimension.select(key, *wanted)), key)
         elif chosen is not None or not star.keys_verified:
-            sales = sales.join(broadcast_if_small(dimension.select(key)), key, "left_semi")
+            sales = sales.join(star_side(star, key, dimension.select(key)), key, "left_semi")
     return sales
 
 

@@ -22,7 +22,9 @@ from ledgerlark.functions.rounding import (
 from ledgerlark.operators.filters import (
     SalesFilter,
     check_range,
+    require_known_store,
     selected_sales,
+    star_side,
     with_dimensions,
 )
 from ledgerlark.sources.star import SalesStar
@@ -61,8 +63,8 @@ def orphan_keys(star: SalesStar) -> DataFrame:
     products = star.products.select("product_id", F.lit(True).alias("has_product"))
     return (
         star.sales.select("store_id", "product_id")
-        .join(stores, "store_id", "left")
-        .join(products, "product_id", "left")
+        .join(star_side(star, "store_id", stores), "store_id", "left")
+        .join(star_side(star, "product_id", products), "product_id", "left")
         .agg(
             F.count("*").alias("sales"),
             F.count_if(F.col("has_store").isNull()).alias("without_store"),
@@ -71,6 +73,12 @@ def orphan_keys(star: SalesStar) -> DataFrame:
     )
 
 
+def _dashboard_sales(star: SalesStar, where: SalesFilter) -> DataFrame:
+    """Selected facts of a dashboard, which refuses a store that does not exist."""
+    require_known_store(star, where.store_id)
+    return selected_sales(star, where)
+
+
 def totals(star: SalesStar, where: SalesFilter) -> DataFrame:
     """One row: revenue, distinct orders, average order value."""
     return (
@@ -135,6 +143,7 @@ def _two_periods(
 
 def dashboard_summary(star: SalesStar, where: SalesFilter) -> DataFrame:
     """Totals of the range and of the equally long range before it."""
+    require_known_store(star, where.store_id)
     periods = _two_periods(star, where, *where.previous_period())
 
     def change(name: str) -> Column:
@@ -188,7 +197,7 @@ def _check_metric(metric: str) -> None:
 def daily(star: SalesStar, where: SalesFilter) -> DataFrame:
     """One row per date with sales, in date order."""
     return (
-        selected_sales(star, where)
+        _dashboard_sales(star, where)
         .groupBy("date")
         .agg(revenue(), orders())
         .withColumn("average_order_value_cents", average_order_value())
@@ -201,7 +210,7 @@ def trend(
 ) -> DataFrame:
     """One metric per date with sales, in date order."""
     if granularity != "day":
-        raise ValueError("only daily granularity is supported")
+        raise ValueError(f"trends are daily, not by {granularity}")
     _check_metric(metric)
     rows = selected_sales(star, where).groupBy("date")
     if metric == "revenue":
@@ -223,7 +232,7 @@ def top_products(
     Facts are summed by product key alone; names are looked up for the few
     winners, so the product table is never shuffled.
     """
-    rows = selected_sales(star, where)
+    rows = _dashboard_sales(star, where)
     order = (F.desc("revenue_cents"), F.asc("product_id"))
     winners = (
         rows.groupBy("product_id")
@@ -252,15 +261,13 @@ def store_comparison(star: SalesStar, where: SalesFilter) -> DataFrame:
     """All stores with sales by revenue, ties by id, with their share.
 
     Facts are summed by store key before the store names are joined.  The
-    total is a scalar subquery, not a window over all stores in one task.
+    total is a scalar subquery over these sums, not another scan of the facts.
     """
-    rows = selected_sales(star, where)
-    total = rows.agg(F.sum("amount_cents")).scalar()
+    per_store = _dashboard_sales(star, where).groupBy("store_id").agg(revenue(), orders())
+    total = per_store.agg(F.sum("revenue_cents")).scalar()
     names = star.stores.select("store_id", "store_name", "category", "district")
     return (
-        rows.groupBy("store_id")
-        .agg(revenue(), orders())
-        .join(names, "store_id")
+        per_store.join(names, "store_id")
         .withColumn("total_cents", total)
         .select(
             "store_id",
@@ -281,7 +288,7 @@ def coverage(star: SalesStar, where: SalesFilter, latest_run: DataFrame | None =
     ``latest_run`` is a one-row frame of the run ledger; its id and time are
     added as scalar subqueries.
     """
-    result = selected_sales(star, where).agg(
+    result = _dashboard_sales(star, where).agg(
         F.count("*").alias("valid_rows"),
         F.min("date").alias("date_min"),
         F.max("date").alias("date_max"),
@@ -307,11 +314,11 @@ def top_entities(
     Stores and products are ranked by name: entities of one name are one.
     """
     if metric != "revenue":
-        raise ValueError("top entity metric must be 'revenue'")
+        raise ValueError(f"rankings go by revenue, not by metric {metric}")
     if dimension not in DIMENSION_COLUMNS:
-        raise ValueError("unsupported top entity dimension")
+        raise ValueError(f"no ranking by dimension {dimension}")
     if not 1 <= limit <= MAX_TOP_LIMIT:
-        raise ValueError(f"limit must be between 1 and {MAX_TOP_LIMIT}")
+        raise ValueError(f"limit {limit} is outside 1 to {MAX_TOP_LIMIT}")
     column = DIMENSION_COLUMNS[dimension]
     return (
         selected_sales(star, where, columns=(column,))

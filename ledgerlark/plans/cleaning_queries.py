@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import cleaning, quality
+from ledgerlark.plans.ingest import content_digest
 from ledgerlark.plans.raw_sales import RAW_SALES_SQL, raw_products, raw_sales, raw_stores
 
 
@@ -61,6 +64,26 @@ def checked_sales(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def dimension_key_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Product names and types that several parts share."""
+    products = raw_products(spark, folder)
+    names = ("product_name", "product_category")
+    return reduce(
+        DataFrame.unionByName,
+        (
+            cleaning.repeated_keys(products, name).select(
+                F.lit(name).alias("key"), F.col(name).alias("value"), "copies"
+            )
+            for name in names
+        ),
+    )
+
+
+def source_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    """The fingerprint of the products, as an ingestion run takes it."""
+    return spark.range(1).select(content_digest(raw_products(spark, folder)).alias("fingerprint"))
+
+
 def valid_sales(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.valid_sales(_checked(spark, folder))
 
@@ -100,6 +123,8 @@ QUERIES = {
     for query in (
         clean_normalize,
         dedupe_first,
+        dimension_key_repeats,
+        source_fingerprint,
         key_lookups,
         checked_sales,
         valid_sales,
@@ -114,7 +139,7 @@ QUERIES = {
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 NORMAL_SQL = f"""
 raw AS ({RAW_SALES_SQL}),
-stores AS (SELECT DISTINCT 'S' || CAST(user_id % 10 AS VARCHAR) AS store_id FROM events),
+stores AS (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS store_id FROM supplier),
 products AS (
   SELECT 'P' || CAST(p_partkey AS VARCHAR) AS product_id,
          CAST(round(p_retailprice * 100) AS BIGINT) AS unit_price_cents
@@ -188,7 +213,20 @@ summary AS (
   FROM checked
 )"""
 
+_LANES = ", ".join(
+    f"CAST(sum(CAST('0x' || substring(h, {1 + 15 * lane}, 15) AS HUGEINT)) AS VARCHAR)" for lane in range(4)
+)
+
 ORACLES = {
+    "dimension_key_repeats": """WITH p AS (SELECT p_name AS product_name, p_type AS product_category FROM part)
+SELECT 'product_name' AS key, product_name AS value, count(*) AS copies FROM p GROUP BY 2 HAVING count(*) > 1
+UNION ALL
+SELECT 'product_category', product_category, count(*) FROM p GROUP BY 2 HAVING count(*) > 1""",
+    "source_fingerprint": f"""WITH hashed AS (
+  SELECT sha256('{{"product_category":"' || p_type || '","product_id":"P' || p_partkey || '","product_name":"' || p_name
+    || '","unit_price_cents":' || CAST(round(p_retailprice * 100) AS BIGINT) || '}}') AS h FROM part
+)
+SELECT sha256(concat_ws(',', CAST(count(*) AS VARCHAR), {_LANES})) AS fingerprint FROM hashed""",
     "clean_normalize": f"""WITH {NORMAL_SQL}
 SELECT row_number, order_id, date, store_id, product_id, qty, reported AS amount_cents, payment FROM normal""",
     "dedupe_first": f"""WITH raw AS ({RAW_SALES_SQL})

@@ -17,13 +17,14 @@ WITH price AS (
   SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS unit_price_cents FROM part
 ),
 e AS (
-  SELECT event_id AS e, CAST(ts AS DATE) AS d, user_id % 10 AS sk, (event_id * 7) % 50 AS pk, event_type AS payment,
+  SELECT event_id AS e, CAST(ts AS DATE) AS d, (SELECT min(s_suppkey) FROM supplier) + user_id % (SELECT count(*) FROM supplier) AS sk,
+         (SELECT min(p_partkey) FROM part) + (event_id * 7) % (SELECT count(*) FROM part) AS pk, event_type AS payment,
          CASE WHEN event_id % 401 = 0 THEN 0 WHEN event_id % 409 = 0 THEN -1 - event_id % 5 ELSE 1 + event_id % 5 END AS q
   FROM events
 ),
 c AS (
-  SELECT e.*, abs(q) * unit_price_cents + CASE WHEN e % 433 = 0 OR (q = 0 AND e % 802 <> 0) THEN 100 ELSE 0 END AS cents
-  FROM e JOIN price ON p_partkey = pk
+  SELECT e.*, abs(q) * coalesce(unit_price_cents, 0) + CASE WHEN e % 433 = 0 OR (q = 0 AND e % 802 <> 0) THEN 100 ELSE 0 END AS cents
+  FROM e LEFT JOIN price ON p_partkey = pk
 ),
 f AS (
   SELECT e, 'O' || CAST(CAST(floor(e / 2) AS BIGINT) AS STRING) AS order_id,
@@ -47,20 +48,16 @@ SELECT 2 * e + 3, order_id, date, store_id, product_id, qty, amount, payment FRO
 
 
 def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
-    text = RAW_SALES_SQL.replace("FROM part", "FROM {part}").replace("FROM events", "FROM {events}")
-    return spark.sql(
-        text,
-        part=warehouse_table(spark, folder, "part"),
-        events=warehouse_table(spark, folder, "events"),
-    )
+    names = ("part", "supplier", "events")
+    text = RAW_SALES_SQL
+    for name in names:
+        text = text.replace(f"FROM {name}", f"FROM {{{name}}}")
+    return spark.sql(text, **{name: warehouse_table(spark, folder, name) for name in names})
 
 
 def raw_stores(spark: SparkSession, folder: str) -> DataFrame:
-    """The stores the events mention."""
-    return (
-        warehouse_table(spark, folder, "events")
-        .select(F.concat(F.lit("S"), F.col("user_id") % 10).alias("store_id"))
-        .distinct()
+    return warehouse_table(spark, folder, "supplier").select(
+        F.concat(F.lit("S"), F.col("s_suppkey")).alias("store_id")
     )
 
 

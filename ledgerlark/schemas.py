@@ -73,6 +73,7 @@ SUMMARY = _struct(
 
 INGESTION_RUNS = _struct(
     ("run_id", WHOLE),
+    ("folder", TEXT),
     ("source_hash", TEXT),
     ("rule_version", TEXT),
     ("started_at", T.TimestampNTZType()),

@@ -23,26 +23,28 @@ def spark():
 
 @pytest.fixture(scope="session")
 def small_star(spark) -> SalesStar:
-    """Two stores, two products, five order lines."""
-    may = date(2026, 5, 1)
-    sales = spark.createDataFrame(
-        [
-            ("O0", date(2026, 4, 30), "S01", "P02", 1, 500),
-            ("O1", may, "S01", "P01", 2, 2000),
-            ("O1", may, "S01", "P02", 1, 500),
-            ("O2", date(2026, 5, 2), "S02", "P01", 1, 1000),
-            ("O3", date(2026, 5, 2), "S01", "P02", 1, 500),
-        ],
-        SALES,
+    """Two stores, two products, seven order lines in late summer."""
+    lines = """
+        A0 2025-08-20 N1 D2 1  400
+        A1 2025-09-09 N2 D1 1 1200
+        A2 2025-09-10 N1 D1 3 3600
+        A2 2025-09-10 N1 D2 2  800
+        A3 2025-09-11 N1 D2 1  400
+        A4 2025-09-11 N2 D1 1 1200
+        A5 2025-09-11 N2 D2 4 1600
+    """
+    sales = [
+        (order, date.fromisoformat(day), store, product, int(qty), int(cents))
+        for order, day, store, product, qty, cents in map(str.split, lines.strip().splitlines())
+    ]
+    stores = [("N1", "Quay Kitchen", "小吃", "江城北岸"), ("N2", "Hill Kitchen", "火锅", "江城南山")]
+    products = [("D1", "酸辣粉", "热食", 1200), ("D2", "豆浆", "冷饮", 400)]
+    return SalesStar(
+        spark.createDataFrame(sales, SALES),
+        spark.createDataFrame(stores, STORES),
+        spark.createDataFrame(products, PRODUCTS),
+        keys_verified=True,
     )
-    stores = spark.createDataFrame(
-        [("S01", "Harbour Bowl", "轻食", "上海·静安"), ("S02", "Noodle House", "拉面", "上海·徐汇")],
-        STORES,
-    )
-    products = spark.createDataFrame(
-        [("P01", "牛肉poke", "主食", 1000), ("P02", "气泡水", "饮品", 500)], PRODUCTS
-    )
-    return SalesStar(sales, stores, products, keys_verified=True)
 
 
 @pytest.fixture(scope="session")
@@ -51,11 +53,11 @@ def quality_run(spark):
     from ledgerlark import schemas
     from pyspark.sql import functions as F
 
-    summary = '{"raw_sales": 12131, "valid_sales": 11944, "quarantined_sales": 111}'
+    summary = '{"raw_sales": 5208, "valid_sales": 5160, "quarantined_sales": 37}'
     return spark.createDataFrame([(7, "a" * 64, "test", summary)], "run_id long, source_hash string, rule_version string, text string").select(
         "run_id",
         "source_hash",
         "rule_version",
-        F.lit("2026-08-19 10:01:00").cast("timestamp_ntz").alias("updated_at"),
+        F.lit("2025-10-02 06:30:00").cast("timestamp_ntz").alias("updated_at"),
         F.from_json("text", schemas.SUMMARY).alias("summary"),
     )

@@ -19,18 +19,21 @@ from ledgerlark.plans.ingest import ingest
 from ledgerlark.plans.raw_sales import raw_products, raw_sales, raw_stores
 from ledgerlark.sources.published import PublishedTables
 
-STORES = [("S01", "Store One", "轻食", "上海·静安")]
-PRODUCTS = [("P01", "牛肉poke", "主食", "10.00"), ("P02", "气泡水", "饮品", "5.00")]
+STORES = [("K7", "Lantern Yard", "饺子", "河港")]
+PRODUCTS = [("M1", "锅贴", "点心", "7.50"), ("M2", "绿茶", "饮料", "3.20")]
+#: Two trusted rows, one imputed, one copy, and one row for each of six faults.
 SALES = [
-    ("O1", "2026-05-01", "S01", "P01", "2", "20.00", "微信"),
-    ("O1", "2026-05-01", "S01", "P01", "2", "20.00", "微信"),
-    ("O2", "01-05-2026", "S01 ", "P02", "3", "", "现金"),
-    ("O3", "2026/05/02", "S99", "P01", "1", "10.00", "现金"),
-    ("O4", "2026-05-02", "S01", "P99", "1", "10.00", "现金"),
-    ("O5", "2026-05-02", "S01", "P01", "1", "-10.00", "现金"),
-    ("O6", "2026-05-02", "S01", "P01", "-1", "10.00", "现金"),
-    ("O7", "2026-05-02", "S01", "P01", "0", "10.00", "现金"),
-    ("O8", "2026-05-02", "s01", "p01", "1", "10.00", "微信"),
+    ("T10", "2025/03/04", "K7", "M2", "5", "16.00", "card"),
+    ("T11", "2025-03-04", "K8", "M1", "1", "7.50", "card"),
+    ("T12", "2025-03-05", " k7", "m1 ", "2", "¥15.00", "cash"),
+    ("T12", "2025-03-05", " k7", "m1 ", "2", "¥15.00", "cash"),
+    ("T13", "2025-03-05", "K7", "M9", "4", "12.80", "cash"),
+    ("T14", "06-03-2025", "K7", "M1", "4", " ", "card"),
+    ("T15", "2025-03-06", "K7", "M2", "-3", "9.60", "card"),
+    ("T16", "2025-03-06", "K7", "M1", "0", "7.50", "cash"),
+    ("T17", "2025-03-06", "K7", "M2", "two", "6.40", "cash"),
+    ("T18", "2025-03-07", "K7", "M1", "2", "14.00", "card"),
+    ("T19", "March 7", "K7", "M1", "1", "7.50", "card"),
 ]
 
 
@@ -49,10 +52,10 @@ def write_inputs(folder, sales=SALES, header=SALES_FIELDS, stores=STORES, produc
 
 def check_one(spark, **changes):
     """The checked form of one raw row that differs from a clean one."""
-    clean = dict(zip(SALES_FIELDS, ("O1", "2026-05-01", "S01", "P01", "2", "20.00", "cash")))
+    clean = dict(zip(SALES_FIELDS, ("T1", "2025-03-04", "K7", "M1", "2", "20.00", "cash")))
     raw = spark.createDataFrame([{"row_number": 2, **clean, **changes}])
-    stores = spark.createDataFrame([("S01",)], "store_id string")
-    products = spark.createDataFrame([("P01", 1000)], "product_id string, unit_price_cents long")
+    stores = spark.createDataFrame([("K7",)], "store_id string")
+    products = spark.createDataFrame([("M1", 1000)], "product_id string, unit_price_cents long")
     return cleaning.checked(raw, stores, products).first()
 
 
@@ -66,8 +69,8 @@ def check_one(spark, **changes):
         ({"amount": "", "qty": "0"}, ["missing_amount"], None, "reported"),
         ({"amount": "", "qty": "-1"}, ["missing_amount"], None, "reported"),
         ({"amount": "", "qty": "x"}, ["invalid_quantity", "missing_amount"], None, "reported"),
-        ({"amount": "", "product_id": "P9"}, ["missing_amount", "unknown_product"], None, "reported"),
-        ({"amount": "", "store_id": "S9"}, ["unknown_store"], 2000, "imputed"),
+        ({"amount": "", "product_id": "M9"}, ["missing_amount", "unknown_product"], None, "reported"),
+        ({"amount": "", "store_id": "K9"}, ["unknown_store"], 2000, "imputed"),
         ({"amount": "", "qty": str(10**18)}, ["missing_amount"], None, "reported"),
         ({"amount": "¥"}, ["invalid_amount"], None, "reported"),
         ({"amount": "1,234.00"}, ["invalid_amount"], None, "reported"),
@@ -96,18 +99,18 @@ def test_rules(spark, changes, reasons, cents, source):
 
 def test_duplicates_are_judged_on_raw_text(spark):
     raw = spark.createDataFrame(
-        [{"row_number": n, **dict(zip(SALES_FIELDS, ("O1", "2026-05-01", store, "P1", "1", "1", "x")))}
-         for n, store in ((9, "S01"), (4, "S01"), (5, "s01"), (7, "S01"))]
+        [{"row_number": n, **dict(zip(SALES_FIELDS, ("T1", "2025-03-04", store, "M1", "1", "1", "x")))}
+         for n, store in ((9, "K7"), (4, "K7"), (5, "k7"), (7, "K7"))]
     )
     found = cleaning.drop_exact_duplicates(raw).select("store_id", "row_number", "copies_removed")
-    assert sorted(map(tuple, found.collect())) == [("S01", 4, 2), ("s01", 5, 0)]
+    assert sorted(map(tuple, found.collect())) == [("K7", 4, 2), ("k7", 5, 0)]
 
 
 @pytest.mark.parametrize(
     ("scale", "ledger", "revenue"),
     [
-        ("0.001", (1007, 7, 9, 979, 21), 263_706_400),
-        ("0.01", (10_064, 64, 99, 9_762, 238), 2_637_147_780),
+        ("0.001", (1007, 7, 9, 979, 21), 265_911_400),
+        ("0.01", (10_064, 64, 99, 9_762, 238), 2_776_211_280),
     ],
 )
 def test_ledger_of_derived_rows(spark, scale, ledger, revenue):
@@ -131,29 +134,30 @@ def test_ledger_of_derived_rows(spark, scale, ledger, revenue):
 def test_ingestion_of_the_small_fixture(spark, tmp_path):
     tables = ingest(spark, write_inputs(tmp_path / "data"), str(tmp_path / "out"))
     run = tables.data_quality().first()
-    assert tuple(run.summary[name] for name in quality.COUNTS) == (9, 1, 1, 3, 5)
+    assert tuple(run.summary[name] for name in quality.COUNTS) == (11, 1, 1, 3, 7)
     assert run.summary.issue_counts == {
-        "quantity_amount_sign_conflict": 2, "unknown_product": 1, "unknown_store": 1,
+        "amount_unit_price_mismatch": 1, "invalid_date": 1, "invalid_quantity": 1,
+        "quantity_amount_sign_conflict": 1, "unknown_product": 1, "unknown_store": 1,
         "zero_quantity_nonzero_amount": 1,
     }
-    assert (run.summary.date_min, run.summary.date_max) == (date(2026, 5, 1), date(2026, 5, 2))
+    assert (run.summary.date_min, run.summary.date_max) == (date(2025, 3, 4), date(2025, 3, 6))
     facts = tables.sales().orderBy("row_number").collect()
     assert [(r.row_number, r.order_id, r.date, r.store_id, r.amount_cents, r.amount_source) for r in facts] == [
-        (2, "O1", date(2026, 5, 1), "S01", 2000, "reported"),
-        (4, "O2", date(2026, 5, 1), "S01", 1500, "imputed"),
-        (10, "O8", date(2026, 5, 2), "S01", 1000, "reported"),
+        (2, "T10", date(2025, 3, 4), "K7", 1600, "reported"),
+        (4, "T12", date(2025, 3, 5), "K7", 1500, "reported"),
+        (7, "T14", date(2025, 3, 6), "K7", 3000, "imputed"),
     ]
     bad = {r.row_number: (json.loads(r.raw_json), r.reasons) for r in tables.quarantined_sales().collect()}
-    assert sorted(bad) == [5, 6, 7, 8, 9]
-    assert bad[5] == (dict(zip(SALES_FIELDS, SALES[3])), ["unknown_store"])
+    assert sorted(bad) == [3, 6, 8, 9, 10, 11, 12]
+    assert bad[3] == (dict(zip(SALES_FIELDS, SALES[1])), ["unknown_store"])
     raw = tables.raw_sales().orderBy("row_number").collect()
     assert [tuple(row) for row in raw] == [(n, *row) for n, row in enumerate(SALES, 2)]
-    everything = SalesFilter(date(2026, 1, 1), date(2026, 12, 31))
+    everything = SalesFilter(date(2025, 1, 1), date(2025, 12, 31))
     coverage = metrics.coverage(tables.star(), everything, tables.latest_run()).first()
     assert (coverage.valid_rows, coverage.ingestion_run_id) == (3, 1)
     assert coverage.updated_at is not None
     score = quality.quality_score(tables.data_quality().select("summary.*")).first()[0]
-    assert score == 38  # 3 of 8
+    assert score == 30  # 3 of 10
 
 
 def test_failed_runs_are_not_seen_and_new_runs_win(spark, tmp_path, monkeypatch):
@@ -171,7 +175,7 @@ def test_failed_runs_are_not_seen_and_new_runs_win(spark, tmp_path, monkeypatch)
     changed = write_inputs(tmp_path / "data2", [*SALES[1:], SALES[0]])
     third = ingest(spark, changed, out).data_quality().first()
     assert third.run_id == 3 and third.source_hash != first.source_hash
-    assert PublishedTables(spark, out).sales(1).count() == 3
+    assert PublishedTables(spark, out).at_run(1).sales().count() == 3
 
 
 def test_no_run_yet(spark, tmp_path):
@@ -183,7 +187,7 @@ def test_no_run_yet(spark, tmp_path):
 
 def test_row_numbers_over_many_splits_and_files(spark, tmp_path):
     sales = [
-        (f"O{i}", "2026-05-01", "S01", "P01", "1", "10.00", "x" * (i % 50)) for i in range(6000)
+        (f"T{i}", "2025-03-04", "K7", "M1", "1", "7.50", "x" * (i % 50)) for i in range(6000)
     ]
     folder = write_inputs(tmp_path / "data", [])
     (tmp_path / "data" / "sales.csv").rename(tmp_path / "data" / "header.txt")
@@ -200,9 +204,9 @@ def test_row_numbers_over_many_splits_and_files(spark, tmp_path):
         tables = ingest(spark, folder, str(tmp_path / "out"))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert tables.read("raw_splits", 1).count() > 10
+    assert tables.read("raw_splits").count() > 10
     found = {row.order_id: row.row_number for row in tables.raw_sales().collect()}
-    assert found == {f"O{i}": i + 2 for i in range(6000)}
+    assert found == {f"T{i}": i + 2 for i in range(6000)}
 
 
 def test_csv_forms(spark, tmp_path):
@@ -210,34 +214,34 @@ def test_csv_forms(spark, tmp_path):
     folder = write_inputs(tmp_path / "data")
     (tmp_path / "data" / "sales.csv").write_text(
         "\ufefforder_id,date,extra,store_id,product_id,qty,amount\n"
-        '"O""1, a",2026-05-01,NA,S01,P01,1,10\n'
+        '"T""1, a",2025-03-04,NA,K7,M1,1,10\n'
         "\n"
-        "NA,2026-05-01,x,S01,P01\n"
-        "\\,2026-05-01,x,S01,P01,1,\n",
+        "NA,2025-03-04,x,K7,M1\n"
+        "\\,2025-03-04,x,K7,M1,1,\n",
         encoding="utf-8",
     )
     raw = ingest(spark, folder, str(tmp_path / "out")).raw_sales().orderBy("row_number").collect()
     assert [tuple(row) for row in raw] == [
-        (2, 'O"1, a', "2026-05-01", "S01", "P01", "1", "10", ""),
-        (3, "NA", "2026-05-01", "S01", "P01", "", "", ""),
-        (4, "\\", "2026-05-01", "S01", "P01", "1", "", ""),
+        (2, 'T"1, a', "2025-03-04", "K7", "M1", "1", "10", ""),
+        (3, "NA", "2025-03-04", "K7", "M1", "", "", ""),
+        (4, "\\", "2025-03-04", "K7", "M1", "1", "", ""),
     ]
 
 
 def test_quoted_line_breaks(spark, tmp_path):
-    sales = [("O1", "2026-05-01", "S01", "P01", "1", "10", "a\nb"), (*SALES[0],)]
+    sales = [("T1", "2025-03-04", "K7", "M1", "1", "10", "a\nb"), (*SALES[0],)]
     tables = ingest(spark, write_inputs(tmp_path / "data", sales), str(tmp_path / "out"), multiline=True)
     raw = tables.raw_sales().orderBy("row_number").collect()
-    assert [(row.row_number, row.payment) for row in raw] == [(2, "a\nb"), (3, "微信")]
+    assert [(row.row_number, row.payment) for row in raw] == [(2, "a\nb"), (3, "card")]
 
 
 @pytest.mark.parametrize(
     ("inputs", "text"),
     [
         ({"sales": [(*SALES[0], "more")]}, "more cells"),
-        ({"products": [("P01", "a", "b", "cheap")]}, "unit_price"),
-        ({"products": [*PRODUCTS, (" p01", "a", "b", "1")]}, "product_id is not unique"),
-        ({"stores": [*STORES, ("s01 ", "a", "b", "c")]}, "store_id is not unique"),
+        ({"products": [("M1", "a", "b", "cheap")]}, "unit_price"),
+        ({"products": [*PRODUCTS, (" m1", "a", "b", "1")]}, "product_id is not unique"),
+        ({"stores": [*STORES, ("k7 ", "a", "b", "c")]}, "store_id is not unique"),
     ],
 )
 def test_inputs_that_stop_a_run(spark, tmp_path, inputs, text):

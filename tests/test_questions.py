@@ -17,13 +17,13 @@ MESSAGE = "conv_id long, turn long, role string, text string"
 
 @pytest.fixture(scope="module")
 def star(spark, small_star):
-    """Three months of sales; July sells more per order than June."""
+    """Three months of sales; the last one sells far more per order."""
     sales = spark.createDataFrame(
         [
-            ("A", date(2026, 5, 1), "S01", "P01", 1, 1000),
-            ("B", date(2026, 6, 10), "S01", "P01", 2, 2000),
-            ("C", date(2026, 6, 11), "S02", "P02", 1, 500),
-            ("D", date(2026, 7, 31), "S02", "P01", 5, 500000),
+            ("E1", date(2025, 2, 3), "N1", "D1", 1, 1200),
+            ("E2", date(2025, 3, 8), "N1", "D1", 3, 3600),
+            ("E3", date(2025, 3, 9), "N2", "D2", 1, 400),
+            ("E4", date(2025, 4, 30), "N2", "D1", 5, 600000),
         ],
         small_star.sales.schema,
     )
@@ -43,55 +43,55 @@ def ask(spark, star, quality_run, *texts):
 
 
 def test_product_revenue(spark, star, quality_run):
-    row = ask(spark, star, quality_run, ("user", "牛肉poke 六月卖了多少钱？"))
+    row = ask(spark, star, quality_run, ("user", "请问三月酸辣粉的营业额"))
     assert (row.status, row.tool, row.ingestion_run_id) == ("answered", "get_revenue", 7)
     assert json.loads(row.parameters) == {
-        "start_date": "2026-06-01", "end_date": "2026-06-30", "product_name": "牛肉poke",
+        "start_date": "2025-03-01", "end_date": "2025-03-31", "product_name": "酸辣粉",
         "store_id": None, "store_category": None,
     }
-    assert json.loads(row.result)["revenue_cents"] == 2000
-    assert row.answer == "牛肉poke在 2026-06-01 至 2026-06-30 的营业额为 ¥20.00，覆盖 1 个订单。"
-    assert (row.action.start_date, row.action.highlight_product) == (date(2026, 6, 1), "牛肉poke")
+    assert json.loads(row.result)["revenue_cents"] == 3600
+    assert row.answer == "酸辣粉在 2025-03-01 至 2025-03-31 的营业额为 ¥36.00，覆盖 1 个订单。"
+    assert (row.action.start_date, row.action.highlight_product) == (date(2025, 3, 1), "酸辣粉")
     assert row.generated_at is not None
 
 
 def test_follow_up_keeps_the_product(spark, star, quality_run):
     row = ask(
         spark, star, quality_run,
-        ("user", "牛肉poke 六月卖了多少钱？"), ("assistant", "已查询六月牛肉poke营业额。"), ("user", "那五月呢？"),
+        ("user", "请问三月酸辣粉的营业额"), ("assistant", "三月酸辣粉见上图"), ("user", "换成二月呢"),
     )
     parameters = json.loads(row.parameters)
     assert (parameters["product_name"], parameters["start_date"], parameters["end_date"]) == (
-        "牛肉poke", "2026-05-01", "2026-05-31",
+        "酸辣粉", "2025-02-01", "2025-02-28",
     )
-    assert json.loads(row.result)["revenue_cents"] == 1000
+    assert json.loads(row.result)["revenue_cents"] == 1200
 
 
 def test_ranking_comparison_and_quality(spark, star, quality_run):
-    row = ask(spark, star, quality_run, ("user", "哪个品类的门店营业额最高？"))
+    row = ask(spark, star, quality_run, ("user", "门店里第一的品类"))
     assert json.loads(row.result)["items"] == [
-        {"name": "拉面", "value_cents": 500500, "order_count": 2}
+        {"name": "火锅", "value_cents": 600400, "order_count": 2}
     ]
-    assert row.answer == "营业额最高的是“拉面”，营业额为 ¥5,005.00。"
-    row = ask(spark, star, quality_run, ("user", "客单价最近是涨了还是跌了？"))
+    assert row.answer == "营业额最高的是“火锅”，营业额为 ¥6,004.00。"
+    row = ask(spark, star, quality_run, ("user", "看看客单价趋势"))
     assert json.loads(row.result) == {
-        "metric": "average_order_value", "current_value": 500000, "previous_value": 1250,
-        "change_percent": 39900.0, "direction": "up",
+        "metric": "average_order_value", "current_value": 600000, "previous_value": 2000,
+        "change_percent": 29900.0, "direction": "up",
     }
-    assert row.answer == "最近一个完整月的客单价为 ¥5,000.00，相比上月上涨 39900.0%。"
-    assert (row.action.start_date, row.action.end_date) == (date(2026, 7, 1), date(2026, 7, 31))
-    row = ask(spark, star, quality_run, ("user", "这批数据有哪些质量问题？"))
-    assert row.answer == "原始数据 12,131 行，清洗后有效 11,944 行，隔离 111 行。"
+    assert row.answer == "最近一个完整月的客单价为 ¥6,000.00，相比上月上涨 29900.0%。"
+    assert (row.action.start_date, row.action.end_date) == (date(2025, 4, 1), date(2025, 4, 30))
+    row = ask(spark, star, quality_run, ("user", "列出脏数据"))
+    assert row.answer == "原始数据 5,208 行，清洗后有效 5,160 行，隔离 37 行。"
     assert row.action is None and row.parameters == "{}"
     assert json.loads(row.result)["rule_version"] == "test"
 
 
 def test_unsupported(spark, star, quality_run):
-    row = ask(spark, star, quality_run, ("user", "明天天气怎么样？"))
+    row = ask(spark, star, quality_run, ("user", "帮我订一张票"))
     assert (row.status, row.answer) == ("unsupported", fixed.OUT_OF_SCOPE_TEXT)
     assert row.tool is None and row.result is None and row.action is None
     empty = SalesStar(star.sales.limit(0), star.stores, star.products, keys_verified=True)
-    row = ask(spark, empty, quality_run, ("user", "这批数据有哪些质量问题？"))
+    row = ask(spark, empty, quality_run, ("user", "列出脏数据"))
     assert (row.status, row.answer) == ("unsupported", fixed.NO_DATES_TEXT)
 
 
@@ -102,24 +102,24 @@ def plan_of(spark, star, *texts):
 
 
 def test_month_rules(spark, star):
-    row = plan_of(spark, star, ("user", "气泡水 十一月 销售"))
-    assert json.loads(row.arguments)["start_date"] == "2026-11-01"
-    row = plan_of(spark, star, ("user", "气泡水十二月"), ("user", "气泡水多少"))
-    assert json.loads(row.arguments)["end_date"] == "2026-12-31"
-    row = plan_of(spark, star, ("user", "气泡水多少"))
-    assert json.loads(row.arguments)["start_date"] == "2026-05-01"
-    assert json.loads(row.arguments)["end_date"] == "2026-07-31"
-    assert plan_of(spark, star, ("user", "气泡水五月呢")).status == "unsupported"
+    row = plan_of(spark, star, ("user", "豆浆 十一月 销售"))
+    assert json.loads(row.arguments)["start_date"] == "2025-11-01"
+    row = plan_of(spark, star, ("user", "豆浆十二月"), ("user", "豆浆多少"))
+    assert json.loads(row.arguments)["end_date"] == "2025-12-31"
+    row = plan_of(spark, star, ("user", "豆浆多少"))
+    assert json.loads(row.arguments)["start_date"] == "2025-02-03"
+    assert json.loads(row.arguments)["end_date"] == "2025-04-30"
+    assert plan_of(spark, star, ("user", "豆浆二月呢")).status == "unsupported"
 
 
 def test_request_checks(spark, star):
     assert plan_of(spark, star, ("user", "问" * 501)).status == "invalid"
     assert plan_of(spark, star, ("user", "问" * 500)).status == "unsupported"
     assert plan_of(spark, star, ("user", "")).status == "invalid"
-    assert plan_of(spark, star, ("system", "x"), ("user", "气泡水多少")).reason == "history"
-    assert plan_of(spark, star, ("user", "x" * 1001), ("user", "气泡水多少")).reason == "history"
+    assert plan_of(spark, star, ("system", "x"), ("user", "豆浆多少")).reason == "history"
+    assert plan_of(spark, star, ("user", "x" * 1001), ("user", "豆浆多少")).reason == "history"
     earlier = [("system", "x"), *(("user", f"m{i}") for i in range(8))]
-    assert plan_of(spark, star, *earlier, ("user", "气泡水多少")).status == "planned"
+    assert plan_of(spark, star, *earlier, ("user", "豆浆多少")).status == "planned"
 
 
 @pytest.mark.parametrize("block_turns", [1, 3, 10, 100_000])
@@ -189,9 +189,9 @@ def test_argument_checks(spark, tool, arguments, status):
 
 
 def test_all_tools_together(spark, star, quality_run):
-    span = {"start_date": "2026-05-01", "end_date": "2026-07-31"}
+    span = {"start_date": "2025-02-01", "end_date": "2025-04-30"}
     calls = {
-        "trend": ("get_trend", {"metric": "revenue", **span, "filters": {"store_id": "s02"}}),
+        "trend": ("get_trend", {"metric": "revenue", **span, "filters": {"store_id": "n2"}}),
         "none": ("get_top_entities", {"dimension": "store", "start_date": "2020-01-01", "end_date": "2020-01-02"}),
         "back": ("get_revenue", {"start_date": "2026-05-02", "end_date": "2026-05-01"}),
         "flat": ("compare_periods", {"metric": "average_order_value", "current_start": "2020-01-01",
@@ -207,9 +207,9 @@ def test_all_tools_together(spark, star, quality_run):
     found = {name: next(r for r in rows if r.arguments == json.dumps(a)) for name, (_, a) in calls.items()}
     assert found["trend"].answer == "已查询 2 个日度数据点，可在趋势图中查看。"
     assert json.loads(found["trend"].result)["points"] == [
-        {"date": "2026-06-11", "value": 500}, {"date": "2026-07-31", "value": 500000},
+        {"date": "2025-03-09", "value": 400}, {"date": "2025-04-30", "value": 600000},
     ]
-    assert found["trend"].action.store_id == "s02"
+    assert found["trend"].action.store_id == "n2"
     assert found["none"].answer == fixed.NO_RANKING_TEXT
     assert json.loads(found["none"].parameters)["limit"] == 10
     assert found["back"].status == "start_date must not be after end_date" and found["back"].answer is None
