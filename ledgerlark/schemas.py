@@ -71,8 +71,9 @@ SUMMARY = _struct(
     ("issue_counts", T.MapType(TEXT, WHOLE)),
 )
 
-INGESTION_RUNS = _struct(
-    ("run_id", WHOLE),
+# A run's number is its place in the order of publication, so two runs at a
+# time cannot take the same one.
+PUBLISHED_RUNS = _struct(
     ("folder", TEXT),
     ("source_hash", TEXT),
     ("rule_version", TEXT),

@@ -239,6 +239,8 @@ def test_quoted_line_breaks(spark, tmp_path):
     ("inputs", "text"),
     [
         ({"sales": [(*SALES[0], "more")]}, "more cells"),
+        ({"sales": [SALES[0], (*SALES[1], "", "LOST")]}, "more cells"),
+        ({"sales": [("T1", "2025-03-04", "K7", "M1", "1", "10", "a\nb")]}, "multiline=True"),
         ({"products": [("M1", "a", "b", "cheap")]}, "unit_price"),
         ({"products": [*PRODUCTS, (" m1", "a", "b", "1")]}, "product_id is not unique"),
         ({"stores": [*STORES, ("k7 ", "a", "b", "c")]}, "store_id is not unique"),
@@ -251,6 +253,58 @@ def test_inputs_that_stop_a_run(spark, tmp_path, inputs, text):
     assert PublishedTables(spark, str(tmp_path / "out")).latest_run_id() is None
 
 
+def test_headers_of_a_folder_must_agree(spark, tmp_path):
+    folder = write_inputs(tmp_path / "data", [])
+    (tmp_path / "data" / "sales.csv").rename(tmp_path / "data" / "header.txt")
+    (tmp_path / "data" / "sales.csv").mkdir()
+    write_csv(tmp_path / "data" / "sales.csv" / "a.csv", SALES_FIELDS, SALES[:2])
+    other = ("date", "order_id", *SALES_FIELDS[2:])
+    write_csv(tmp_path / "data" / "sales.csv" / "b.csv", other, [(r[1], r[0], *r[2:]) for r in SALES[2:4]])
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        ingest(spark, folder, str(tmp_path / "out"))
+
+
+def test_two_runs_at_a_time_do_not_mix(spark, tmp_path, monkeypatch):
+    """A run that is published while another one works gets a folder of its own."""
+    data, out = write_inputs(tmp_path / "data"), str(tmp_path / "out")
+    other = write_inputs(tmp_path / "other", SALES[:1])
+    times = iter(range(100))
+    now = ingest_job._now
+
+    def interrupted():
+        if next(times) == 1:  # the first run is about to be published
+            ingest(spark, other, out)
+        return now()
+
+    with monkeypatch.context() as patched:
+        patched.setattr(ingest_job, "_now", interrupted)
+        ingest(spark, data, out)
+    tables = PublishedTables(spark, out)
+    folders = [row.folder for row in tables.runs().collect()]
+    assert len(set(folders)) == 2
+    assert {tables.at_run(n).raw_sales().count() for n in (1, 2)} == {1, len(SALES)}
+
+
+def test_dimensions_are_broadcast_by_their_bytes(spark, monkeypatch, capsys):
+    from ledgerlark.operators import filters
+    from ledgerlark.sources.star import warehouse_star
+
+    folder = "/root/testdata/sf0.001"
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+    try:
+        for limit, shuffled in ((filters.BROADCAST_BYTES, False), (1, True)):
+            monkeypatch.setattr(filters, "BROADCAST_BYTES", limit)
+            rows = cleaning.checked(raw_sales(spark, folder), raw_stores(spark, folder), raw_products(spark, folder))
+            orphans = metrics.orphan_keys(warehouse_star(spark, folder))
+            for frame in (orphans, rows.where("clean_store_id = 'S1'")):
+                frame.explain()
+                plan = capsys.readouterr().out
+                assert ("SortMergeJoin [clean_store_id" in plan or "SortMergeJoin [store_id" in plan) == shuffled
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_missing_input(spark, tmp_path):
     folder = write_inputs(tmp_path / "data")
     (tmp_path / "data" / "products.csv").unlink()

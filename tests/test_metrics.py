@@ -160,6 +160,29 @@ def test_wrong_requests_are_rejected_before_any_query(small_star):
             metrics.top_entities(small_star, "store", TWO_DAYS, limit)
 
 
+def test_warehouse_facts_without_a_partner_do_not_count(spark, tmp_path):
+    """The star over files drops orphans, as an inner join does."""
+    from pyspark.sql import functions as F
+
+    from ledgerlark.sources.star import warehouse_star
+
+    folder = "/root/testdata/sf0.001"
+    for name in ("nation", "region", "supplier", "part"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{folder}/{name}.parquet")
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    orphan = lines.limit(1).withColumn("l_partkey", F.lit(10**6).cast(lines.schema["l_partkey"].dataType))
+    lines.unionByName(orphan).write.parquet(str(tmp_path / "lineitem.parquet"))
+    everything = SalesFilter(date(1990, 1, 1), date(2010, 12, 31))
+    found = rows(metrics.totals(warehouse_star(spark, str(tmp_path)), everything))
+    assert found == rows(metrics.totals(warehouse_star(spark, folder), everything))
+
+
+def test_dashboards_refuse_an_unknown_store(small_star):
+    for build in (metrics.dashboard_summary, metrics.daily, metrics.top_products, metrics.store_comparison, metrics.coverage):
+        with pytest.raises(ValueError, match="unknown store_id"):
+            build(small_star, with_filter(store_id="nowhere"))
+
+
 def test_known_store(small_star):
     assert require_known_store(small_star, " n1 ") == "N1"
     assert require_known_store(small_star, " ") is None

@@ -179,6 +179,14 @@ def test_longest_product_against_brute_force(spark):
         ("get_data_quality", {}, "ok"),
         ("get_data_quality", {"a": 1}, "invalid arguments"),
         ("run_sql", {"sql": "DROP TABLE sales"}, "unsupported tool: run_sql"),
+        ("get_revenue", {"start_date": "2025-05-01", "end_date": "2025-05-31", "product_name": 5}, "invalid arguments"),
+        ("get_trend", {"metric": "revenue", "filters": {"store_id": 7}, "start_date": "2025-05-01", "end_date": "2025-05-31"}, "invalid arguments"),
+        ("get_trend", {"metric": "revenue", "filters": {"store_id": None}, "start_date": "2025-05-01", "end_date": "2025-05-31"}, "invalid arguments"),
+        ("get_trend", {"metric": "revenue", "filters": [], "start_date": "2025-05-01", "end_date": "2025-05-31"}, "invalid arguments"),
+        ("get_top_entities", {"dimension": "store", "limit": "5", "start_date": "2025-05-01", "end_date": "2025-05-31"}, "ok"),
+        ("get_top_entities", {"dimension": "store", "limit": 5.0, "start_date": "2025-05-01", "end_date": "2025-05-31"}, "ok"),
+        ("get_top_entities", {"dimension": "store", "limit": 5.5, "start_date": "2025-05-01", "end_date": "2025-05-31"}, "invalid arguments"),
+        ("get_top_entities", {"dimension": 3, "start_date": "2025-05-01", "end_date": "2025-05-31"}, "invalid arguments"),
     ],
 )
 def test_argument_checks(spark, tool, arguments, status):
