@@ -20,7 +20,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,8 +31,11 @@ from ledgerlark.llm.common import workers_see_package
 
 END_OF_WORD = "</w>"
 
+#: Bits of the number of a byte letter; they go up to U+0143.
+LETTER_BITS = 9
+
 #: Words whose encoding a worker remembers; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 #: Letters and numbers of the characters up to U+017F, whose lower case is there too, and the
 #: vocabulary's own split for them.
@@ -55,38 +58,63 @@ class Automaton:
     """Arcs are tokens: ``allowed[state]`` has a bit for each class of arcs, and ``state[token]``
     is the state after it."""
 
-    ids: dict[str, int]
     labels: list[str]
     start: int
     state: list[int]
     arc: list[int]
     allowed: list[bytes]
-    longest: int
+
+    @cached_property
+    def spelling(self) -> tuple[dict[int, int], list[int], list[int]]:
+        """A tree of the labels: (node and letter -> node, token of a node within a word, at its end)."""
+        step: dict[int, int] = {}
+        within, at_end = [-1], [-1]
+        for token, label in enumerate(self.labels):
+            node = 0
+            for letter in label.removesuffix(END_OF_WORD):
+                key = node << LETTER_BITS | ord(letter)
+                if key not in step:
+                    step[key] = len(within)
+                    within.append(-1)
+                    at_end.append(-1)
+                node = step[key]
+            (at_end if label.endswith(END_OF_WORD) else within)[node] = token
+        return step, within, at_end
 
     def encode(self, word: str) -> list[int]:
-        """Ids of a word of byte letters."""
-        size, get = len(word), self.ids.get
+        """Ids of a word of byte letters.
+
+        From each place that a token sequence reaches, the tree gives the
+        tokens that begin there and the table those that may follow; the last
+        token of each prefix is thus found once, as it is unique.
+        """
+        size = len(word)
+        step, within, at_end = self.spelling
         state, arc, allowed = self.state, self.arc, self.allowed
-        last = [-1] * (size + 1)
-        after = [self.start] * (size + 1)
-        for end in range(1, size + 1):
-            ending = END_OF_WORD if end == size else ""
-            for begin in range(max(0, end - self.longest), end):
-                if last[begin] < 0 and begin:
-                    continue
-                token = get(word[begin:end] + ending)
-                if token is not None:
+        letters = [*map(ord, word)]
+        last, begins, after = [-1] * (size + 1), [0] * (size + 1), [-1] * (size + 1)
+        after[0] = self.start
+        final = size - 1
+        for begin in range(size):
+            here = after[begin]
+            if here < 0:
+                continue
+            may, node = allowed[here], 0
+            for at in range(begin, size):
+                node = step.get(node << LETTER_BITS | letters[at])
+                if node is None:
+                    break
+                token = at_end[node] if at == final else within[node]
+                if token >= 0:
                     target = arc[token]
-                    if allowed[after[begin]][target >> 3] >> (target & 7) & 1:
-                        last[end], after[end] = token, state[token]
-                        break
-        out, lengths, end = [], self.labels, size
+                    if may[target >> 3] >> (target & 7) & 1:
+                        last[at + 1], begins[at + 1], after[at + 1] = token, begin, state[token]
+        out, end = [], size
         while end:
-            token = last[end]
-            if token < 0:
+            if last[end] < 0:
                 raise ValueError("the vocabulary has no symbol for a byte")
-            out.append(token)
-            end -= len(lengths[token]) - (len(END_OF_WORD) if end == size else 0)
+            out.append(last[end])
+            end = begins[end]
         return out[::-1]
 
     def decode(self, ids: list[int]) -> str:
@@ -133,10 +161,7 @@ def compiled(vocab: dict[str, int], merges: list[tuple[str, str]]) -> Automaton:
     groups, state = _classes(packed)
     after = [int(state[states[x]]) if x in states else -1 for x in labels]
     rows = [packed[number].tobytes() for number in groups]
-    return Automaton(
-        vocab, labels, int(state[0]), after, [int(x) for x in arc], rows,
-        max(len(x.removesuffix(END_OF_WORD)) for x in labels),
-    )
+    return Automaton(labels, int(state[0]), after, [int(x) for x in arc], rows)
 
 
 @dataclass(frozen=True)
