@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8) and
-BENCH_RUNS (default 5) are read from the environment.  Each query runs once
+BENCH_RUNS (default 3) are read from the environment.  Each query runs once
 to warm up; the figure is the median of the runs, with all rows computed.
 """
 
@@ -36,7 +36,14 @@ HEADLINE = (
     "quarantine",
     "ingestion_summary",
     "batch_metric_requests",
+    "batch_comparisons",
+    "batch_trends",
+    "batch_rankings",
     "question_plan",
+    "tool_calls",
+    "question_answers",
+    "ingest_outcomes",
+    "ingest_daily",
 )
 
 
@@ -48,7 +55,7 @@ def seconds(query, spark, folder: str) -> float:
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "5"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "ledgerlark-bench")
     timings = {}
     for name in HEADLINE:
