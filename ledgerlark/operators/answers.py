@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 
 from ledgerlark import fixed
 from ledgerlark.operators import questions, tools
+from ledgerlark.operators.filters import broadcast_if_small
 from ledgerlark.session import stored
 from ledgerlark.sources.star import SalesStar
 
 
 def answer_plans(planned: DataFrame, star: SalesStar, quality: DataFrame) -> DataFrame:
-    """One row per question.  ``planned`` is read several times."""
+    """One row per question.  ``planned`` is read several times.
+
+    Many questions may be one call, so the evidence, a row for each distinct
+    call, is broadcast if its bytes allow it.
+    """
     calls = planned.where(F.col("status") == questions.PLANNED)
-    evidence = tools.run_tools(calls, star, quality).withColumnRenamed("status", "call_status")
+    evidence = stored(tools.run_tools(calls, star, quality), "evidence")
+    evidence = broadcast_if_small(evidence.withColumnRenamed("status", "call_status"))
     answered = F.col("call_status") == tools.OK
     status = (
         F.when(F.col("status") != questions.PLANNED, F.col("status"))

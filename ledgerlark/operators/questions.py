@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ledgerlark import fixed
 from ledgerlark.functions.periods import iso, month_of, month_range, previous_month
 from ledgerlark.functions.text import contains_any, strip
+from ledgerlark.operators.filters import broadcast_if_small
+from ledgerlark.session import stored
 from ledgerlark.sources.star import SalesStar
 
 PLANNED, UNSUPPORTED, INVALID = "planned", "unsupported", "invalid"
@@ -142,15 +144,15 @@ def longest_product(texts: DataFrame, products: DataFrame, *ids: str) -> DataFra
     lengths = F.concat(F.coalesce("lengths", nothing), F.coalesce("one", nothing))
     candidates = (
         pieces.withColumn("letter", F.substring("opening", 1, 1))
-        .join(openings, "opening", "left")
-        .join(single, "letter", "left")
+        .join(broadcast_if_small(openings), "opening", "left")
+        .join(broadcast_if_small(single), "letter", "left")
         .select(*ids, "chunk", "place", F.explode(lengths).alias("length"))
         .select(*ids, F.substring("chunk", F.col("place"), F.col("length")).alias("product_name"))
     )
     best = F.struct(-F.col("length"), F.col("first_id"))
     return (
         candidates.distinct()
-        .join(names, "product_name")
+        .join(broadcast_if_small(names), "product_name")
         .groupBy(*ids)
         .agg(F.min_by("product_name", best).alias("product_name"))
     )
@@ -164,7 +166,8 @@ def plan(asked: DataFrame, star: SalesStar) -> DataFrame:
     """Tool and arguments for each question, or why there is none.
 
     Month names mean the year of the last sale.  "Recent" compares the month
-    of the last sale, complete or not, with the month before.
+    of the last sale, complete or not, with the month before.  The questions
+    are written once: the product search and the result both read them.
     """
     date_min = star.sales.agg(F.min("date")).scalar()
     date_max = star.sales.agg(F.max("date")).scalar()
@@ -191,9 +194,10 @@ def plan(asked: DataFrame, star: SalesStar) -> DataFrame:
         )
         .when(wants_amount | follows_up, "get_revenue")
     )
-    rows = (
+    rows = stored(
         asked.withColumns({"month": month, "date_min": date_min, "date_max": date_max})
-        .withColumn("intent", intent)
+        .withColumn("intent", intent),
+        "questions",
     )
     # Only questions that reach the product rule are searched for a name.
     texts = rows.where(F.col("intent") == "get_revenue").select(
