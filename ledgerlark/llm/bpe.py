@@ -264,13 +264,13 @@ def encoded(
                 ids, labels = encoder.encode(text or "")
                 count = ids.count(" ") + 1 if ids else 0
                 digests = [hashlib.sha256(x.encode()).hexdigest() for x in (ids, labels)]
-                row = (None if pd.isna(doc) else int(doc), count, *digests)
+                row = (doc, count, *digests)
                 rows.append((*row, [int(x) for x in ids.split()], labels) if with_tokens else row)
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
-            out = pd.DataFrame(rows, columns=names[: 6 if with_tokens else 4])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=names[: 6 if with_tokens else 4])
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInPandas(encode, schema + (", ids array<long>, decoded string" if with_tokens else ""))
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    # identifiers go as text: pandas has no whole numbers with nulls
+    narrow = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    out = narrow.mapInPandas(encode, schema + (", ids array<long>, decoded string" if with_tokens else ""))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))

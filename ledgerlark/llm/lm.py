@@ -445,7 +445,7 @@ def scored(docs: DataFrame, model: PairModel) -> DataFrame:
                 text = np.repeat(np.arange(n), tokens.lengths)
                 part = batch.iloc[done : done + n]
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"].astype("Int64"),
+                    "doc_id": part["doc_id"],
                     "held_out": part["held_out"],
                     "n_tokens": tokens.lengths,
                     "n_known": np.bincount(text, counts > 0, n).astype(np.int64),
@@ -455,11 +455,13 @@ def scored(docs: DataFrame, model: PairModel) -> DataFrame:
                 })
                 done += n
 
-    return docs.select("doc_id", "held_out", "text").mapInPandas(
+    # identifiers go as text: pandas has no whole numbers with nulls
+    out = docs.select(F.col("doc_id").cast("string"), "held_out", "text").mapInPandas(
         score,
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long,"
+        "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long,"
         " base_score double, score double",
     )
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ def awkward(spark, repeats: int = 1):
         (None, "no identifier at all here", "de", "b", 3),
         (None, None, None, None, None),
         (6, LONG, "en", "c", len(LONG)),
-        (7, "Übergrößenträger \U0001f600 naïve café", "de", None, 2),
+        (2**62 + 1, "Übergrößenträger \U0001f600 naïve café", "de", None, 2),
         (8, "one", "en", "a", 3),
     ] * repeats
     frame = spark.createDataFrame(rows, DOCS).coalesce(2)
