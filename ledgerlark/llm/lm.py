@@ -31,7 +31,7 @@ from ledgerlark.llm.common import shared_folder, stored, workers_see_package
 FOLDS, ADDED = 10, 0.1
 
 #: Tokens that a task counts, or scores, at a time.
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: Tokens of the corpus for each merged array, about.
 MERGED = 1 << 22
 #: Tokens of a first word beyond which its pairs are dealt by the second word too.
