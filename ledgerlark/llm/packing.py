@@ -59,6 +59,18 @@ def ranked(tokenizer) -> Callable[[str], list[int]]:
     return words.encode_ordinary
 
 
+class Words(dict):
+    """Words and their ids as bytes; an unknown word is encoded when it is first asked for."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = array("I", self.encode(word)).tobytes()
+        return ids
+
+
 class Encoder:
     """Ids of whole texts, as bytes (little-endian unsigned 32-bit), with remembered words."""
 
@@ -67,33 +79,23 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         self.tokenizer = Tokenizer.from_file(path)
-        self.word = ranked(self.tokenizer)
         added = {str(token): i for i, token in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = {token: np.array([i], "<u4").tobytes() for token, i in added.items()}
         parts = "|".join(re.escape(token) for token in sorted(added, key=len, reverse=True))
         self.cut = re.compile(f"({parts})") if added else None
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for word in words.difference(self.known):
-            self.known[word] = array("I", self.word(word)).tobytes()
+        self.known = Words(ranked(self.tokenizer))
 
     def encode(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
         out = []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            words = WORDS.findall(part)
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                self.learn(set(words))
-                out.append(b"".join(map(self.known.__getitem__, words)))
+            out.extend(map(self.known.__getitem__, WORDS.findall(part)))
         return b"".join(out)
 
 
