@@ -45,7 +45,6 @@ CONTEXT = 80
 MIN_SUPPORT = 3
 #: Scores that make a pattern, and an identifier, trusted.
 MIN_PATTERN, MIN_IDENTIFIER = 0.5, 0.5
-ROUNDS = 3
 
 
 def digits_of(value: Column) -> Column:
@@ -176,11 +175,11 @@ def discovered(found: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     )
     seeds = found.where("kind <> 'candidate'").groupBy("value").agg(F.min("kind").alias("kind"))
     known = seeds.withColumn("score", F.lit(1.0))
-    # a pattern whose every extraction is a base span discovers nothing
+    # to discover a value, a pattern has met MIN_SUPPORT others, whichever round makes them known
     useful = (
         edges.groupBy("left")
-        .agg(F.count("kind").alias("seeds"), F.count_if(F.col("kind").isNull()).alias("open"))
-        .where((F.col("seeds") > 0) & (F.col("open") > 0))
+        .agg(F.count(F.lit(1)).alias("values"), F.count_if(F.col("kind").isNull()).alias("open"))
+        .where((F.col("values") > MIN_SUPPORT) & (F.col("open") > 0))
         .select("left", F.xxhash64("left").alias("h"))
     )
     useful = stored(useful, "patterns")
@@ -191,8 +190,8 @@ def discovered(found: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     graph = stored(
         edges.drop("kind").join(useful.join(occurrences, "h"), "left").drop("h"), "pattern-graph"
     )
-    fresh = None
-    for _ in range(ROUNDS):
+    new = seeds.where("false").withColumn("score", F.lit(1.0))
+    while True:
         patterns = (
             graph.join(known, "value")
             .groupBy("left", "kind")
@@ -206,7 +205,7 @@ def discovered(found: DataFrame, texts: DataFrame, text: str) -> DataFrame:
         )
         scored = (
             graph.join(patterns, "left")
-            .join(seeds.select("value"), "value", "left_anti")
+            .join(known.select("value"), "value", "left_anti")
             .groupBy("value")
             .agg(
                 F.max_by("best.kind", "best.trust").alias("kind"),
@@ -216,9 +215,9 @@ def discovered(found: DataFrame, texts: DataFrame, text: str) -> DataFrame:
         )
         fresh = stored(scored, "identifiers")
         if not fresh.take(1):
-            break
-        known = seeds.withColumn("score", F.lit(1.0)).unionByName(fresh)
-    return fresh.select("value", "kind")
+            return new.select("value", "kind")
+        new = stored(new.unionByName(fresh), "known-identifiers")
+        known = seeds.withColumn("score", F.lit(1.0)).unionByName(new)
 
 
 def spans(docs: DataFrame, text_col: str = "text", learn: bool = True) -> DataFrame:

@@ -77,6 +77,23 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert rows[22].spans == ""
 
 
+def chain_docs(spark, hops):
+    """Each trigger shares three numbers with the one before; only the first stands before base spans."""
+    number = lambda hop, k: f"0{hop}88-555-24{k:02d}"
+    name = lambda hop: "abcdefgh"[hop] + "-line:"
+    rows = [f"w{k} {name(0)} +1 (988) 555-24{k:02d} end" for k in range(12)]
+    for hop in range(hops):
+        rows += [f"w{k} {name(hop)} {number(hop, k)} end" for k in range(3)]
+        rows += [f"w{k} {name(hop + 1)} {number(hop, k)} end" for k in range(3)]
+    rows.append(f"w {name(hops)} 0999-555-9999 end")
+    return spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(rows)], DOCS)
+
+
+def test_discovered_identifiers_induce_patterns(spark):
+    rows = pii.personal_data(chain_docs(spark, 1)).collect()
+    assert all(r.spans for r in rows) and sum(r.n_found for r in rows) == 7
+
+
 def test_masking(spark):
     docs = learning_docs(spark).unionByName(
         spark.createDataFrame([(90, "x 1.2.3.4 y a@b.cd +1 988 555 2485 1.1.1.1", "en", "s", 7)], DOCS)
