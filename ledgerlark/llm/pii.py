@@ -2,12 +2,13 @@
 
 Base spans match fixed formats.  Their left words are lexical patterns, and
 patterns and the identifiers they extract form a graph that Spark scores in
-rounds: a pattern's score is the share of all its occurrences in the corpus
-that known identifiers follow, weighted by their scores; an identifier's score
-is one minus the product of the doubts of its patterns.  Identifiers above the
-limit are known in the next round, wherever they stand.  "the" is followed by
-anything, so it extracts nothing; "phone:" may extract numbers that no fixed
-format covers.
+rounds: a pattern's score is the share of its kind among the known identifiers
+it has met, times a term that grows with their number; candidates not known yet
+count neither way.  An identifier's score is one minus the product of the
+doubts of its patterns.  Identifiers above the limit are known in the next
+round, wherever they stand, until a round adds none.  "the" is followed by
+anything, mostly by no candidate at all, so it extracts nothing; "phone:" may
+extract numbers that no fixed format covers.
 
 All of it is built-in expressions, joins and windows.  Rows exist for matches
 only; texts are never shuffled.
@@ -43,6 +44,8 @@ MIN_LENGTH, MIN_DIGITS = 6, 4
 CONTEXT = 80
 #: Different known identifiers that a pattern must have met.
 MIN_SUPPORT = 3
+#: Share of a pattern's occurrences that some candidate, known or not, must follow.
+MIN_SHARE = 0.25
 #: Scores that make a pattern, and an identifier, trusted.
 MIN_PATTERN, MIN_IDENTIFIER = 0.5, 0.5
 
@@ -178,30 +181,32 @@ def discovered(found: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     # to discover a value, a pattern has met MIN_SUPPORT others, whichever round makes them known
     useful = (
         edges.groupBy("left")
-        .agg(F.count(F.lit(1)).alias("values"), F.count_if(F.col("kind").isNull()).alias("open"))
+        .agg(
+            F.count(F.lit(1)).alias("values"),
+            F.count_if(F.col("kind").isNull()).alias("open"),
+            F.sum("n").alias("met"),
+        )
         .where((F.col("values") > MIN_SUPPORT) & (F.col("open") > 0))
-        .select("left", F.xxhash64("left").alias("h"))
+        .select("left", F.xxhash64("left").alias("h"), "met")
     )
     useful = stored(useful, "patterns")
     if not useful.take(1):
         return seeds.where("false")
     words = F.transform(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))
     occurrences = texts.select(F.explode(words).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("occurrences"))
-    graph = stored(
-        edges.drop("kind").join(useful.join(occurrences, "h"), "left").drop("h"), "pattern-graph"
-    )
+    telling = useful.join(occurrences, "h").where(F.col("met") >= MIN_SHARE * F.col("occurrences")).select("left")
+    graph = stored(edges.select("left", "value").join(telling, "left"), "pattern-graph")
     new = seeds.where("false").withColumn("score", F.lit(1.0))
     while True:
         patterns = (
             graph.join(known, "value")
             .groupBy("left", "kind")
-            .agg(
-                (F.sum(F.col("n") * F.col("score")) / F.max("occurrences")).alias("trust"),
-                F.count(F.lit(1)).alias("support"),
-            )
-            .where((F.col("support") >= MIN_SUPPORT) & (F.col("trust") >= MIN_PATTERN))
+            .agg(F.sum("score").alias("weight"), F.count(F.lit(1)).alias("support"))
             .groupBy("left")
-            .agg(F.max(F.struct(F.least("trust", F.lit(1.0)).alias("trust"), "kind")).alias("best"))
+            .agg(F.sum("weight").alias("all"), F.max(F.struct("weight", "kind", "support")).alias("of"))
+            .withColumn("trust", F.col("of.weight") / F.col("all") * F.col("of.weight") / (F.col("of.weight") + 1))
+            .where((F.col("of.support") >= MIN_SUPPORT) & (F.col("trust") >= MIN_PATTERN))
+            .select("left", F.struct("trust", "of.kind").alias("best"))
         )
         scored = (
             graph.join(patterns, "left")

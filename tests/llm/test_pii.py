@@ -94,6 +94,14 @@ def test_discovered_identifiers_induce_patterns(spark):
     assert all(r.spans for r in rows) and sum(r.n_found for r in rows) == 7
 
 
+def test_unseen_values_and_longer_chains_do_not_lower_trust(spark):
+    rows = [(i, f"w{i} phone: +1 (988) 555-24{i:02d} end", "en", "s", 1) for i in range(4)]
+    rows += [(10 + i, f"w{i} phone: 0988-555-24{i:02d} end", "en", "s", 1) for i in range(6)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert all(r.spans for r in pii.personal_data(docs).collect())
+    assert all(r.spans for r in pii.personal_data(chain_docs(spark, 4)).collect())
+
+
 def test_masking(spark):
     docs = learning_docs(spark).unionByName(
         spark.createDataFrame([(90, "x 1.2.3.4 y a@b.cd +1 988 555 2485 1.1.1.1", "en", "s", 7)], DOCS)
