@@ -1,7 +1,7 @@
 """Personal data: fixed formats, and what stands where such data usually stands.
 
-Base spans match fixed formats.  Their left words are lexical patterns, and
-patterns and the identifiers they extract form a graph that Spark scores in
+Base spans match fixed formats.  One to three words before them, and the word
+before with the word after, are lexical patterns, and patterns and the identifiers they extract form a graph that Spark scores in
 rounds: a pattern's score is the share of its kind among the known identifiers
 it has met, times a term that grows with their number; candidates not known yet
 count neither way.  An identifier's score is one minus the product of the
@@ -33,14 +33,25 @@ FORMATS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A token with a digit or an at sign: an identifier perhaps.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
-OPENING, CLOSING = r"""^[("'<\[{]+""", r"""[)"'>\]},.;:!?]+$"""
+#: An identifier perhaps: an account number in groups of four, digits in groups (each too short
+#: to be a number of its own), or a token with enough digits or an at sign.
+SOLID, ENDING = r"[^\x20\x09-\x0D]", r"""(?=[)"'>\]},.;:!?]*+(?:[\x20\x09-\x0D]|\z))"""
+PIECE = rf"(?!(?:[^0-9\x20\x09-\x0D]*+[0-9]){{9}})(?=[(\[]?[0-9])[0-9()\[\]/-]++{ENDING}"
+CANDIDATE = (
+    rf"(?<!{SOLID})(?:"
+    rf"""["'<{{(\[]*+[A-Z]{{2}}[0-9]{{2}}(?:\x20[A-Z0-9]{{4}}(?![A-Za-z0-9])){{2,7}}+(?:\x20[A-Z0-9]{{1,3}}{ENDING})?+{ENDING}"""
+    rf"""|(?=(?:[^0-9A-Za-z]*+[0-9]){{{4}}})["'<{{]*+\+?+{PIECE}(?:\x20{PIECE}){{1,9}}+"""
+    rf"|(?={SOLID}{{6}})(?=(?:[^0-9\x20\x09-\x0D]*+[0-9]){{{4}}}|[^@\x20\x09-\x0D]*+@){SOLID}++"
+    r")"
+)
+#: Quotes and brackets before an identifier; a bracket closed within it, before a digit, belongs to it.
+OPENING = r"""^(?:["'<{]|\((?![^()]*\)[^()]*[0-9])|\[(?![^\[\]]*\][^\[\]]*[0-9]))+"""
+CLOSING = r"""[)"'>\]},.;:!?]+$"""
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 #: An identifier has so many characters, and so many digits or an at sign.
 MIN_LENGTH, MIN_DIGITS = 6, 4
-#: Code points before a match in which its left word is looked for.
+#: Code points before and after a match in which the words of its patterns are looked for.
 CONTEXT = 80
 #: Different known identifiers that a pattern must have met.
 MIN_SUPPORT = 3
@@ -50,6 +61,34 @@ MIN_SHARE = 0.25
 MIN_PATTERN, MIN_IDENTIFIER = 0.5, 0.5
 
 
+def _words(text: Column) -> Column:
+    """Hashes of the lower-case words of a text."""
+    return F.transform(F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), ""), lambda w: F.xxhash64(w))
+
+
+def _patterns(words: Column, right: Column) -> Column:
+    """Hashes of the last one, two and three of ``words``, and of the last one with the word ``right``."""
+    last = [F.get(words, F.size(words) - k) for k in (1, 2, 3)]
+    kinds = [
+        F.when(F.size(words) >= k, F.xxhash64(F.lit(k), *last[:k])) for k in (1, 2, 3)
+    ] + [F.when((F.size(words) >= 1) & right.isNotNull(), F.xxhash64(F.lit(0), last[0], right))]
+    return F.array_compact(F.array(*kinds))
+
+
+def _all_patterns(words: Column) -> Column:
+    """The hashes of ``_patterns`` at every word: one, two and three words, and two with one between."""
+    def at(w: Column, i: Column) -> Column:
+        one, two = F.get(words, i - 1), F.get(words, i - 2)
+        return F.array(
+            F.xxhash64(F.lit(1), w),
+            F.when(i >= 1, F.xxhash64(F.lit(2), w, one)),
+            F.when(i >= 2, F.xxhash64(F.lit(3), w, one, two)),
+            F.when(i >= 2, F.xxhash64(F.lit(0), two, w)),
+        )
+
+    return F.array_compact(F.flatten(F.transform(words, at)))
+
+
 def digits_of(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -79,9 +118,10 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def matches(rows: DataFrame, text: str) -> DataFrame:
-    """(place, kind, start, end, value, left) of all format matches and candidates of ``rows``.
+    """(place, kind, start, end, value, patterns, direct) of all format matches and candidates of ``rows``.
 
-    A split by a pattern and its matches alternate, so lengths give positions
+    ``patterns`` are hashes of the words around; where only blanks part a match
+    from the one before, it takes that one's, and is not ``direct``.  A split by a pattern and its matches alternate, so lengths give positions
     (code points) as running sums.  Rows: one for each match.
     """
 
@@ -93,6 +133,7 @@ def matches(rows: DataFrame, text: str) -> DataFrame:
                 F.lit(kind).alias("kind"),
                 F.arrays_zip(
                     F.split(F.col(text), pattern).alias("piece"),
+                    F.slice(F.split(F.col(text), pattern), 2, F.size(F.split(F.col(text), pattern))).alias("after"),
                     F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("value"),
                 ).alias("parts"),
             ),
@@ -112,17 +153,17 @@ def matches(rows: DataFrame, text: str) -> DataFrame:
             "k",
             F.length("part.piece").alias("before"),
             F.col("part.value").alias("value"),
-            F.lower(
-                F.regexp_extract(
-                    F.substr("part.piece", F.lit(-CONTEXT)), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*\z", 1
-                )
-            ).alias("left"),
+            ((F.col("k") == 0) | F.col("part.piece").rlike(r"[^\x20\x09-\x0D]")).alias("direct"),
+            _words(F.substr("part.piece", F.lit(-CONTEXT))).alias("_left"),
+            F.get(_words(F.left("part.after", F.lit(CONTEXT))), F.lit(0)).alias("_right"),
         )
+        .withColumn("_own", F.when(F.col("direct"), _patterns(F.col("_left"), F.col("_right"))))
     )
     so_far = Window.partitionBy(*PLACE, "kind").orderBy("k")
     placed = parts.withColumn("end", F.sum(F.col("before") + F.length("value")).over(so_far)).withColumn(
         "start", F.col("end") - F.length("value")
     )
+    placed = placed.withColumn("patterns", F.last("_own", ignorenulls=True).over(so_far))
     core = F.regexp_replace(F.regexp_replace("value", OPENING, ""), CLOSING, "")
     lead = F.length("value") - F.length(F.regexp_replace("value", OPENING, ""))
     is_candidate = F.col("kind") == "candidate"
@@ -136,7 +177,7 @@ def matches(rows: DataFrame, text: str) -> DataFrame:
         F.col("value").contains("@") | (F.length(digits_of(F.col("value"))) >= MIN_DIGITS)
     )
     return trimmed.where(F.when(is_candidate, identifier).otherwise(_valid(F.col("kind"), F.col("value")))).select(
-        *PLACE, "kind", "start", "end", "value", F.nullif("left", F.lit("")).alias("left")
+        *PLACE, "kind", "start", "end", "value", "patterns", "direct"
     )
 
 
@@ -168,10 +209,10 @@ def discovered(found: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     each pattern in the whole corpus.
     """
     edges = stored(
-        found.where("left is not null")
-        .groupBy("left", "value")
+        found.select(F.explode("patterns").alias("h"), "value", "kind", "direct")
+        .groupBy("h", "value")
         .agg(
-            F.count(F.lit(1)).alias("n"),
+            F.count_if("direct").alias("n"),
             F.min(F.when(F.col("kind") != "candidate", F.col("kind"))).alias("kind"),
         ),
         "pattern-edges",
@@ -180,36 +221,47 @@ def discovered(found: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     known = seeds.withColumn("score", F.lit(1.0))
     # to discover a value, a pattern has met MIN_SUPPORT others, whichever round makes them known
     useful = (
-        edges.groupBy("left")
+        edges.groupBy("h")
         .agg(
             F.count(F.lit(1)).alias("values"),
             F.count_if(F.col("kind").isNull()).alias("open"),
             F.sum("n").alias("met"),
         )
         .where((F.col("values") > MIN_SUPPORT) & (F.col("open") > 0))
-        .select("left", F.xxhash64("left").alias("h"), "met")
+        .select("h", "met")
     )
     useful = stored(useful, "patterns")
     if not useful.take(1):
         return seeds.where("false")
-    words = F.transform(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))
-    occurrences = texts.select(F.explode(words).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("occurrences"))
-    telling = useful.join(occurrences, "h").where(F.col("met") >= MIN_SHARE * F.col("occurrences")).select("left")
-    graph = stored(edges.select("left", "value").join(telling, "left"), "pattern-graph")
+    small = small_side(useful.select("h"), 8)
+    words = texts.select(_words(F.col(text)).alias("words"))
+    occurrences = (
+        words.select(F.explode(_all_patterns(F.col("words"))).alias("h"))
+        .join(small, "h", "left_semi")
+        .groupBy("h")
+        .agg(F.count(F.lit(1)).alias("occurrences"))
+    )
+    # right words behind several tokens are not met two words on: such patterns have no count
+    telling = (
+        useful.join(occurrences, "h", "left")
+        .where(F.col("met") >= MIN_SHARE * F.coalesce("occurrences", F.lit(0)))
+        .select("h")
+    )
+    graph = stored(edges.select("h", "value").join(telling, "h"), "pattern-graph")
     new = seeds.where("false").withColumn("score", F.lit(1.0))
     while True:
         patterns = (
             graph.join(known, "value")
-            .groupBy("left", "kind")
+            .groupBy("h", "kind")
             .agg(F.sum("score").alias("weight"), F.count(F.lit(1)).alias("support"))
-            .groupBy("left")
+            .groupBy("h")
             .agg(F.sum("weight").alias("all"), F.max(F.struct("weight", "kind", "support")).alias("of"))
             .withColumn("trust", F.col("of.weight") / F.col("all") * F.col("of.weight") / (F.col("of.weight") + 1))
             .where((F.col("of.support") >= MIN_SUPPORT) & (F.col("trust") >= MIN_PATTERN))
-            .select("left", F.struct("trust", "of.kind").alias("best"))
+            .select("h", F.struct("trust", "of.kind").alias("best"))
         )
         scored = (
-            graph.join(patterns, "left")
+            graph.join(patterns, "h")
             .join(known.select("value"), "value", "left_anti")
             .groupBy("value")
             .agg(

@@ -102,6 +102,20 @@ def test_unseen_values_and_longer_chains_do_not_lower_trust(spark):
     assert all(r.spans for r in pii.personal_data(chain_docs(spark, 4)).collect())
 
 
+def test_identifiers_of_several_tokens_and_patterns_of_several_words(spark):
+    rows = [(i, f"w{i} phone: +1 (988) 555-24{i:02d} or so", "en", "s", 1) for i in range(6)]
+    rows += [(10 + i, f"w{i} number is +1 (988) 555-24{i:02d} or so", "en", "s", 1) for i in range(6)]
+    rows += [(20 + i, "all is well and this is so, which is it", "en", "s", 1) for i in range(20)]
+    new = ["phone: (988) 555-2485 ok", "phone: 0161 496 0000, ok", "phone: (0988-555-2485) ok",
+           "phone: DE89 3704 0044 0532 0130 00 ok", "phone: 0988-555-9999 0988-555-8888 ok",
+           "number is 0988-555-7777 ok", "this is 0988-555-6666 ok"]
+    rows += [(100 + i, t, "en", "s", 1) for i, t in enumerate(new)]
+    out = {r.doc_id: r.text for r in pii.masked(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [out[100 + i] for i in range(len(new))] == [
+        "phone: [PHONE] ok", "phone: [PHONE], ok", "phone: ([PHONE]) ok", "phone: [PHONE] ok",
+        "phone: [PHONE] [PHONE] ok", "number is [PHONE] ok", "this is 0988-555-6666 ok"]
+
+
 def test_masking(spark):
     docs = learning_docs(spark).unionByName(
         spark.createDataFrame([(90, "x 1.2.3.4 y a@b.cd +1 988 555 2485 1.1.1.1", "en", "s", 7)], DOCS)
