@@ -75,18 +75,27 @@ def _patterns(words: Column, right: Column) -> Column:
     return F.array_compact(F.array(*kinds))
 
 
-def _all_patterns(words: Column) -> Column:
-    """The hashes of ``_patterns`` at every word: one, two and three words, and two with one between."""
-    def at(w: Column, i: Column) -> Column:
-        one, two = F.get(words, i - 1), F.get(words, i - 2)
-        return F.array(
-            F.xxhash64(F.lit(1), w),
-            F.when(i >= 1, F.xxhash64(F.lit(2), w, one)),
-            F.when(i >= 2, F.xxhash64(F.lit(3), w, one, two)),
-            F.when(i >= 2, F.xxhash64(F.lit(0), two, w)),
-        )
-
-    return F.array_compact(F.flatten(F.transform(words, at)))
+def _met_patterns(texts: DataFrame, text: str) -> DataFrame:
+    """(h) of ``_patterns`` at every word: one, two and three words, and two with one between."""
+    none = F.lit(None).cast("long")
+    shifted = F.arrays_zip(
+        F.col("words").alias("w"),
+        F.concat(F.array(none), "words").alias("one"),
+        F.concat(F.array(none, none), "words").alias("two"),
+    )
+    at = (
+        texts.select(_words(F.col(text)).alias("words"))
+        .select(F.explode(shifted).alias("x"))
+        .select("x.w", "x.one", "x.two")
+        .where("w is not null")
+    )
+    hashes = F.array(
+        F.xxhash64(F.lit(1), "w"),
+        F.when(F.col("one").isNotNull(), F.xxhash64(F.lit(2), "w", "one")),
+        F.when(F.col("two").isNotNull(), F.xxhash64(F.lit(3), "w", "one", "two")),
+        F.when(F.col("two").isNotNull(), F.xxhash64(F.lit(0), "two", "w")),
+    )
+    return at.select(F.explode(hashes).alias("h"))
 
 
 def digits_of(value: Column) -> Column:
@@ -234,9 +243,8 @@ def discovered(found: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     if not useful.take(1):
         return seeds.where("false")
     small = small_side(useful.select("h"), 8)
-    words = texts.select(_words(F.col(text)).alias("words"))
     occurrences = (
-        words.select(F.explode(_all_patterns(F.col("words"))).alias("h"))
+        _met_patterns(texts, text)
         .join(small, "h", "left_semi")
         .groupBy("h")
         .agg(F.count(F.lit(1)).alias("occurrences"))
