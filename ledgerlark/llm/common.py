@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.session import shared_folder, stored
 
-__all__ = ["PLACE", "located", "numbered", "shared_folder", "small_side", "stored", "table", "workers_see_package"]
+__all__ = ["PLACE", "located", "new_names", "numbered", "shared_folder", "small_side", "stored", "table", "workers_see_package"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -63,34 +63,49 @@ def located(rows: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, order: list[str | Column], number: str) -> DataFrame:
     """``rows`` with gapless numbers from 0, in the order of ``order``.
 
-    One range shuffle; the sorted rows are written, so a number never changes
-    when an executor is lost.  Rows equal in ``order`` are split between
+    One range shuffle; the rows are written first, as the shuffle reads them
+    twice (once for a sample), and once sorted, so a number never changes when
+    an executor is lost.  Rows equal in ``order`` are split between
     partitions by a last key, so a very frequent value takes no single task.
     Only one small row per partition is summed up and broadcast.
     """
-    last = F.monotonically_increasing_id()
+    tie, at, part, count, start = new_names(rows, "tie", "place", "part", "rows", "start")
     placed = (
-        rows.withColumn("_tie", last)
-        .repartitionByRange(*order, "_tie")
-        .sortWithinPartitions(*order, "_tie")
-        .drop("_tie")
-        .withColumn("_place", F.monotonically_increasing_id())
+        stored(rows, "to-number")
+        .withColumn(tie, F.monotonically_increasing_id())
+        .repartitionByRange(*order, tie)
+        .sortWithinPartitions(*order, tie)
+        .drop(tie)
+        .withColumn(at, F.monotonically_increasing_id())
     )
-    kept = stored(placed, "numbered").withColumn("_part", F.shiftright("_place", PLACE_BITS))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    kept = stored(placed, "numbered").withColumn(part, F.shiftright(at, PLACE_BITS))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        kept.groupBy("_part")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+        kept.groupBy(part)
+        .agg(F.count(F.lit(1)).alias(count))
+        .select(part, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(start))
     )
-    place = F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    place = F.col(at).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     return (
-        kept.join(F.broadcast(starts), "_part")
-        .withColumn(number, F.col("_start") + place)
-        .drop("_part", "_place", "_start")
+        kept.join(F.broadcast(starts), part)
+        .withColumn(number, F.col(start) + place)
+        .drop(part, at, start)
     )
 
 
+def new_names(rows: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that ``rows`` does not have, whatever a user's columns are called."""
+    taken = {column.lower() for column in rows.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Bytes that a broadcast table may have; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import bpe, exact_dedup, extraction, lm, packing, pii, quality, sharding, simhash, warc
+from ledgerlark.llm import bpe, exact_dedup, extraction, lm, packing, pii, quality, sharding, simhash, trie, warc
 from ledgerlark.llm.common import table
 
 SHARDS = 24
@@ -126,6 +126,58 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), BYTE_BPE)
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's UTF-8 bytes: one step for each bit."""
+    bits = (
+        f"flatten(list_transform(range(1, 2 * strlen({text}), 2),"
+        f" lambda i: [CAST('0x' || substring(hex(encode({text})), CAST(i AS INT), 2) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    )
+    step = "lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {bits}), {step}), 4294967295)"
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+OP12_SQL = f"""
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i
+    FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS donor, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h
+    FROM (SELECT DISTINCT conv_id FROM t)),
+turns AS (
+    SELECT conv_id, 1 AS part, i, r, x FROM c JOIN t USING (conv_id) WHERE i >= h
+    UNION ALL
+    SELECT c.conv_id, 0, i, r, x FROM c JOIN t ON t.conv_id = c.donor WHERE i < h),
+paths AS (
+    SELECT conv_id, coalesce(p, []) AS p
+    FROM c LEFT JOIN (
+        SELECT conv_id, list(struct_pack(r := r, x := x) ORDER BY part, i) AS p FROM turns GROUP BY conv_id) USING (conv_id)),
+prefixes AS (SELECT conv_id, len(p) AS n, d, p[1:d] AS q FROM paths, unnest(range(0, len(p) + 1)) AS u(d)),
+nodes AS (
+    SELECT q, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+           coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '') AS ends,
+           (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(q[d].x) END AS saved
+    FROM prefixes GROUP BY q, d),
+below AS (SELECT q[1:d - 1] AS q, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+subtree AS (
+    SELECT q[1:e] AS q, e AS d, sum(saved) AS saved_tokens, count(*) FILTER (childless) AS n_leaves
+    FROM (SELECT nodes.*, n_children IS NULL AS childless FROM nodes LEFT JOIN below USING (q, d)) AS s,
+         unnest(range(0, s.d + 1)) AS u(e)
+    GROUP BY ALL)
+SELECT nodes.conv_id, nodes.d AS depth, up.conv_id AS parent_conv_id, nodes.n_convs,
+       coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+       sha256(nodes.ends) AS ends_sha256
+FROM nodes
+JOIN subtree USING (q, d)
+LEFT JOIN below USING (q, d)
+LEFT JOIN nodes AS up ON nodes.d > 0 AND up.d = nodes.d - 1 AND up.q = nodes.q[1:nodes.d - 1]
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_extraction": op2_extraction,
@@ -137,10 +189,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op5_warc": OP5_SQL,
     "op7_quality": OP7_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
