@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.session import shared_folder, stored
 
-__all__ = ["PLACE", "located", "new_names", "numbered", "shared_folder", "small_side", "stored", "table", "workers_see_package"]
+__all__ = ["PLACE", "apart", "located", "new_names", "numbered", "shared_folder", "small_batches", "small_side", "stored", "table", "workers_see_package"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -37,6 +40,44 @@ def workers_see_package(spark: SparkSession) -> None:
         known["PYTHONPATH"] = f"{ROOT}:{path}" if path else ROOT
 
 
+def apart(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose helper columns, which begin with an underscore, never meet the user's.
+
+    Its first argument's columns of that form, and those whose names cannot
+    stand in expressions as they are, get other names while it works, but for
+    those named in its arguments, and their own names afterwards.
+    """
+
+    @wraps(operator)
+    def run(rows: DataFrame, *args, **kwargs) -> DataFrame:
+        named = {*args, *kwargs.values()}
+        clashing = [c for c in rows.columns if c not in named and (c.startswith("_") or not {*".`"}.isdisjoint(c))]
+        hidden = {c: f"set aside {i}" for i, c in enumerate(clashing)}
+        out = operator(rows.withColumnsRenamed(hidden), *args, **kwargs)
+        return out.withColumnsRenamed({v: c for c, v in hidden.items() if v in out.columns})
+
+    return run
+
+
+#: Bytes of a batch of rows that goes to a Python worker, where texts can be long.
+BATCH_BYTES = 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Queries run in here send at most about BATCH_BYTES to a Python worker at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 #: The place of a row: its file (hashed) and its number there.
 PLACE = ["_row_file", "_row_place"]
 
@@ -60,18 +101,18 @@ def located(rows: DataFrame) -> DataFrame:
         return stored(rows, "located").select("*", *where)
 
 
-def numbered(rows: DataFrame, order: list[str | Column], number: str) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str | Column], number: str, written: bool = False) -> DataFrame:
     """``rows`` with gapless numbers from 0, in the order of ``order``.
 
-    One range shuffle; the rows are written first, as the shuffle reads them
-    twice (once for a sample), and once sorted, so a number never changes when
-    an executor is lost.  Rows equal in ``order`` are split between
+    One range shuffle; the rows are written first (unless they are ``written``),
+    as the shuffle reads them twice, once for a sample, and again once sorted,
+    so a number never changes when an executor is lost.  Rows equal in ``order`` are split between
     partitions by a last key, so a very frequent value takes no single task.
     Only one small row per partition is summed up and broadcast.
     """
     tie, at, part, count, start = new_names(rows, "tie", "place", "part", "rows", "start")
     placed = (
-        stored(rows, "to-number")
+        (rows if written else stored(rows, "to-number"))
         .withColumn(tie, F.monotonically_increasing_id())
         .repartitionByRange(*order, tie)
         .sortWithinPartitions(*order, tie)

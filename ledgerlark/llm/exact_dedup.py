@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import PLACE, located, shared_folder, small_side, stored
+from ledgerlark.llm.common import PLACE, apart, located, shared_folder, small_side, stored
 
 #: State on disk, without files set aside before they are needed: with many partitions of
 #: little state these would take far more room than the state.
@@ -149,6 +149,7 @@ def _result(rows: DataFrame) -> DataFrame:
     )
 
 
+@apart
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 (of the text without white space)."""
     return groups_of_equals(docs).select(
@@ -156,6 +157,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+@apart
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts; all columns stay."""
     rows = located(docs)

@@ -13,12 +13,14 @@ sequences.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -26,13 +28,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.bpe import byte_letters
-from ledgerlark.llm.common import numbered, small_side, stored, workers_see_package
+from ledgerlark.llm.common import numbered, small_batches, small_side, stored, workers_see_package
 
 CAPACITY = 2048
 END = 0
 
-#: Words whose ids a worker remembers; then it starts anew.
-REMEMBERED = 500_000
+#: Bytes of the words, with their ids, that a worker remembers; then it starts anew.
+REMEMBERED_BYTES = 32 << 20
+#: What Python takes for a word and its ids besides their letters and bytes.
+WORD_BYTES = 190
+#: Pieces that a worker hands back at a time.
+ROWS_BACK = 4096
 
 #: Letters and numbers of the characters up to U+024F, as in the vocabulary's own split.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
@@ -43,7 +49,7 @@ WORDS = re.compile(
 )
 
 
-def ranked(tokenizer) -> Callable[[str], list[int]]:
+def ranked(vocabulary: dict[str, int], added: set[int]) -> Callable[[str], list[int]]:
     """Ids of single words by the vocabulary's ranks: its ids follow the order of its merges.
 
     The same ids as the tokenizer's own, at a small part of its cost for each call.
@@ -51,10 +57,7 @@ def ranked(tokenizer) -> Callable[[str], list[int]]:
     import tiktoken
 
     byte_of = {letter: byte for byte, letter in enumerate(byte_letters())}
-    added = set(tokenizer.get_added_tokens_decoder())
-    ranks = {
-        bytes(map(byte_of.__getitem__, token)): i for token, i in tokenizer.get_vocab().items() if i not in added
-    }
+    ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in vocabulary.items() if i not in added}
     words = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
     return words.encode_ordinary
 
@@ -64,32 +67,42 @@ class Words(dict):
 
     def __init__(self, encode: Callable[[str], list[int]]):
         super().__init__()
-        self.encode = encode
+        self.encode, self.bytes = encode, 0
 
     def __missing__(self, word: str) -> bytes:
+        if self.bytes > REMEMBERED_BYTES:
+            self.clear()
+            self.bytes = 0
         ids = self[word] = array("I", self.encode(word)).tobytes()
+        self.bytes += WORD_BYTES + 2 * len(word) + len(ids)
         return ids
 
 
 class Encoder:
-    """Ids of whole texts, as bytes (little-endian unsigned 32-bit), with remembered words."""
+    """Ids of whole texts, as bytes (little-endian unsigned 32-bit), with remembered words.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    The library's own tokenizer is loaded only when a text needs it.
+    """
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
-        self.tokenizer = Tokenizer.from_file(path)
-        added = {str(token): i for i, token in self.tokenizer.get_added_tokens_decoder().items()}
+    def __init__(self, path: str):
+        self.path = path
+        description = json.loads(Path(path).read_text("utf-8"))
+        added = {token["content"]: token["id"] for token in description["added_tokens"]}
         self.special = {token: np.array([i], "<u4").tobytes() for token, i in added.items()}
         parts = "|".join(re.escape(token) for token in sorted(added, key=len, reverse=True))
         self.cut = re.compile(f"({parts})") if added else None
-        self.known = Words(ranked(self.tokenizer))
+        self.known = Words(ranked(description["model"]["vocab"], set(added.values())))
+
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
+        return Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         out = []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:
@@ -127,6 +140,7 @@ def pieces(
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder(path).encode, np.array([END], "<u4").tobytes()
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5]
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
@@ -135,7 +149,9 @@ def pieces(
                     own = ids[4 * start : 4 * (start + length)]
                     row = (doc, piece, start, length, zlib.crc32(own))
                     rows.append((*row, np.frombuffer(own, "<u4").astype("int64")) if with_ids else row)
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5]
+                    if len(rows) >= ROWS_BACK:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
             yield pd.DataFrame(rows, columns=names)
 
     schema = "doc_id string, piece int, start long, length long, ids_crc32 long"
@@ -259,15 +275,16 @@ def best_fit(runs: DataFrame, capacity: int) -> DataFrame:
     return stored(out, "packing-placed")
 
 
-def packed(rows: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
+def packed(rows: DataFrame, order: list[str], capacity: int = CAPACITY, written: bool = False) -> DataFrame:
     """``rows`` with ``sequence_id`` and ``offset``; ``rows.length`` is 1 to ``capacity``.
 
     Rows are sorted by length and then ``order``; equal rows are
     interchangeable.  In each sequence offsets are gapless from 0 and the
     lengths sum to the capacity at most.  Columns of the new names are
-    replaced.  An empty input gives no rows.
+    replaced.  ``written`` rows come straight from files and are not written
+    again.  An empty input gives no rows.
     """
-    sorted_rows = numbered(rows.drop("sequence_id", "offset"), ["length", *order], "_rank")
+    sorted_rows = numbered(rows.drop("sequence_id", "offset"), ["length", *order], "_rank", written)
     runs = stored(
         sorted_rows.groupBy("length").agg(F.min("_rank").alias("first"), F.count(F.lit(1)).alias("n"))
         .withColumnRenamed("length", "size"),
@@ -292,5 +309,6 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Data
     Null and empty texts are one token long.  Repeated rows are documents of
     their own.  An empty table gives no rows.
     """
-    cut = pieces(docs, path, capacity)
-    return packed(cut, ["doc_id", "piece", "ids_crc32"], capacity)
+    with small_batches(docs.sparkSession):
+        cut = stored(pieces(docs, path, capacity), "pieces")  # texts are tokenised once
+    return packed(cut, ["doc_id", "piece", "ids_crc32"], capacity, written=True)

@@ -16,10 +16,13 @@ only; texts are never shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import PLACE, located, small_side, stored
+from ledgerlark.llm.common import PLACE, apart, located, small_side, stored
 
 #: Kinds in the order of the contract.
 KINDS = ("email", "ip", "card", "phone")
@@ -51,8 +54,10 @@ PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 #: An identifier has so many characters, and so many digits or an at sign.
 MIN_LENGTH, MIN_DIGITS = 6, 4
-#: Code points before and after a match in which the words of its patterns are looked for.
+#: Code points before and after a match in which the words of its patterns are looked for first.
 CONTEXT = 80
+#: Words of a pattern at most.
+PATTERN_WORDS = 3
 #: Different known identifiers that a pattern must have met.
 MIN_SUPPORT = 3
 #: Share of a pattern's occurrences that some candidate, known or not, must follow.
@@ -66,6 +71,27 @@ def _words(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), ""), lambda w: F.xxhash64(w))
 
 
+def _words_before(piece: Column) -> Column:
+    """Hashes of the last words of what is before a match, PATTERN_WORDS at least if there are so many.
+
+    The edge of CONTEXT may cut a word, so the first one there does not count;
+    only where too few remain is the whole piece read.
+    """
+    near = _words(F.substr(piece, F.lit(-CONTEXT)))
+    return (
+        F.when(F.length(piece) <= CONTEXT, near)
+        .when(F.size(near) > PATTERN_WORDS, F.slice(near, F.lit(2), F.size(near)))
+        .otherwise(_words(piece))
+    )
+
+
+def _word_after(piece: Column) -> Column:
+    """Hash of the first word of what is after a match."""
+    near = _words(F.left(piece, F.lit(CONTEXT)))
+    whole = (F.length(piece) <= CONTEXT) | (F.size(near) > 1)
+    return F.when(whole, F.get(near, F.lit(0))).otherwise(F.get(_words(piece), F.lit(0)))
+
+
 def _patterns(words: Column, right: Column) -> Column:
     """Hashes of the last one, two and three of ``words``, and of the last one with the word ``right``."""
     last = [F.get(words, F.size(words) - k) for k in (1, 2, 3)]
@@ -126,6 +152,17 @@ def _valid(kind: Column, value: Column) -> Column:
     )
 
 
+def fits(kind: Column, value: Column) -> Column:
+    """Whether a discovered value may be of a kind by its shape.
+
+    An e-mail address has an at sign and the others have none; what has the
+    format of a kind but failed its check is not of that kind.
+    """
+    address = value.contains("@")
+    failed = F.coalesce(*[F.when(kind == name, value.rlike(f"^(?:{FORMATS[name]})$")) for name in KINDS[1:]])
+    return F.when(kind == "email", address).otherwise(~address & ~failed)
+
+
 def matches(rows: DataFrame, text: str) -> DataFrame:
     """(place, kind, start, end, value, patterns, direct) of all format matches and candidates of ``rows``.
 
@@ -163,8 +200,8 @@ def matches(rows: DataFrame, text: str) -> DataFrame:
             F.length("part.piece").alias("before"),
             F.col("part.value").alias("value"),
             ((F.col("k") == 0) | F.col("part.piece").rlike(r"[^\x20\x09-\x0D]")).alias("direct"),
-            _words(F.substr("part.piece", F.lit(-CONTEXT))).alias("_left"),
-            F.get(_words(F.left("part.after", F.lit(CONTEXT))), F.lit(0)).alias("_right"),
+            _words_before(F.col("part.piece")).alias("_left"),
+            _word_after(F.col("part.after")).alias("_right"),
         )
         .withColumn("_own", F.when(F.col("direct"), _patterns(F.col("_left"), F.col("_right"))))
     )
@@ -210,12 +247,39 @@ def outside_base(found: DataFrame) -> DataFrame:
     )
 
 
+@contextmanager
+def run_time_filter(spark: SparkSession) -> Iterator[None]:
+    """Joins planned in here may filter a large side by a Bloom filter of the other one.
+
+    Where patterns are too many to broadcast, all words of the corpus would be
+    shuffled to meet them.  Spark then builds a filter of at most 8 MB (a few
+    per cent of false positives at four million patterns), sends it to the
+    scan of the words, and joins exactly what is left.
+    """
+    name = "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "4g")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def discovered(found: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     """(value, kind) of identifiers that trusted patterns extract from ``found``'s candidates.
 
     Edges (pattern, value) are counted once, so copies weigh as counts and no
     hot pattern or value is a large group.  ``texts`` gives the occurrences of
-    each pattern in the whole corpus.
+    each pattern in the whole corpus.  Only values that stand directly behind
+    a pattern are evidence for its kind, not those that a row of values has
+    handed it on to; and a pattern extracts what has the shape of its kind.
+
+    Each round but the last adds an identifier, and a chain of patterns and
+    identifiers is as long as the rounds, so their number is bounded by the
+    longest shortest path of the graph.  Rounds are written.
     """
     edges = stored(
         found.select(F.explode("patterns").alias("h"), "value", "kind", "direct")
@@ -242,24 +306,27 @@ def discovered(found: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     useful = stored(useful, "patterns")
     if not useful.take(1):
         return seeds.where("false")
-    small = small_side(useful.select("h"), 8)
-    occurrences = (
-        _met_patterns(texts, text)
-        .join(small, "h", "left_semi")
-        .groupBy("h")
-        .agg(F.count(F.lit(1)).alias("occurrences"))
-    )
+    with run_time_filter(texts.sparkSession):
+        occurrences = stored(
+            _met_patterns(texts, text)
+            .join(small_side(useful.select("h"), 8), "h", "left_semi")
+            .groupBy("h")
+            .agg(F.count(F.lit(1)).alias("occurrences")),
+            "pattern-occurrences",
+        )
     # right words behind several tokens are not met two words on: such patterns have no count
     telling = (
         useful.join(occurrences, "h", "left")
         .where(F.col("met") >= MIN_SHARE * F.coalesce("occurrences", F.lit(0)))
         .select("h")
     )
-    graph = stored(edges.select("h", "value").join(telling, "h"), "pattern-graph")
+    direct = (F.col("n") > 0).alias("direct")
+    graph = stored(edges.select("h", "value", direct).join(telling, "h"), "pattern-graph")
     new = seeds.where("false").withColumn("score", F.lit(1.0))
     while True:
         patterns = (
-            graph.join(known, "value")
+            graph.where("direct")
+            .join(known, "value")
             .groupBy("h", "kind")
             .agg(F.sum("score").alias("weight"), F.count(F.lit(1)).alias("support"))
             .groupBy("h")
@@ -270,6 +337,7 @@ def discovered(found: DataFrame, texts: DataFrame, text: str) -> DataFrame:
         )
         scored = (
             graph.join(patterns, "h")
+            .where(fits(F.col("best.kind"), F.col("value")))
             .join(known.select("value"), "value", "left_anti")
             .groupBy("value")
             .agg(
@@ -317,6 +385,7 @@ def _listed(entries: Column) -> Column:
     )
 
 
+@apart
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found.
 
@@ -350,11 +419,28 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+#: Code points of a block: a text is cut into blocks once, and positions are reached by their block.
+BLOCK = 512
+
+
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points ``start`` to ``end`` (exclusive) of a text cut into ``blocks``."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    block = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+    tail, head = start % BLOCK, end % BLOCK
+    inner = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(first == last, F.substr(block(first), tail + 1, head - tail)).otherwise(
+        F.concat(F.substr(block(first), tail + 1, F.lit(BLOCK)), inner, F.left(block(last), head))
+    )
+
+
+@apart
 def masked(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` with each span replaced by its kind, as ``[EMAIL]``; overlapping ones by the first.
 
     Only rows with personal data are joined; others, and other columns, stay
-    as they are; ``length_col`` follows the text.
+    as they are; ``length_col`` follows the text.  A text is cut into blocks
+    once, so its cost is its length and a block for each span.
     """
     rows = located(docs)
     by_start = Window.partitionBy(*PLACE).orderBy("start", "end", "kind")
@@ -365,24 +451,32 @@ def masked(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
         .withColumn("_group", F.sum("_new").over(by_start))
         .groupBy(*PLACE, "_group")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
+        .withColumns({name: F.col(name).cast("int") for name in ("start", "end")})
         .groupBy(*PLACE)
         .agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_cuts"))
+        .withColumn("_cuts", F.transform(
+            "_cuts",
+            lambda x, i: F.struct(
+                F.when(i > 0, F.get(F.col("_cuts"), F.greatest(i - 1, F.lit(0)))["end"]).otherwise(0).alias("after"),
+                x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"),
+            ),
+        ))
     )
     merged = small_side(stored(merged, "pii-cuts"), F.size("_cuts") * 40 + 40)
     joined = rows.join(merged, PLACE, "left")
     text = F.col(text_col)
+    blocks = F.when(F.col("_cuts").isNotNull(), F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+    joined = joined.withColumn("_blocks", blocks)
 
-    def until(x: Column, i: Column) -> Column:
-        begin = F.when(i > 0, F.get(F.col("_cuts"), F.greatest(i - 1, F.lit(0)))["end"]).otherwise(0)
-        begin = begin.cast("int")
-        return F.concat(
-            F.substr(text, begin + 1, x["start"].cast("int") - begin), F.lit("["), F.upper(x["kind"]), F.lit("]")
-        )
+    def until(x: Column) -> Column:
+        return F.concat(_between(F.col("_blocks"), x["after"], x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
 
-    rest = F.substr(text, F.element_at("_cuts", -1)["end"].cast("int") + 1)
+    end = F.element_at("_cuts", -1)["end"]
+    whole = (F.size("_blocks") * BLOCK).cast("int")
+    rest = _between(F.col("_blocks"), end, whole)
     touched = F.col("_cuts").isNotNull()
     out = joined.withColumn(
-        "_masked", F.when(touched, F.concat(F.array_join(F.transform("_cuts", until), ""), rest)).otherwise(text)
+        "_masked", F.when(touched, F.concat(F.array_join(F.transform("_cuts", lambda x: until(x)), ""), rest)).otherwise(text)
     )
     columns = [F.col("_masked").alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if length_col in docs.columns:

@@ -1,12 +1,17 @@
 """Quality rules: counts within a text, and lines that many documents of a host share.
 
 Lines are normalised and hashed; for each host the distinct documents with a
-line are counted.  A line above the limit is boilerplate and is removed; a
-document with too little left is rejected.  Copies must not turn each other
-into boilerplate: equal texts count as one document, and a line counts as
-boilerplate only if its neighbours differ too.  In near copies a line stands
-between the same lines nearly everywhere; boilerplate stands between different
-ones on one side at least.
+line are counted.  A line above the limit, a share of the host's documents and
+a floor, is frequent.  A document with too little left once boilerplate is
+removed is rejected.
+
+Copies must not turn each other into boilerplate.  Equal texts count as one
+document.  In near copies a line stands between the same lines nearly
+everywhere, while a shared block stands between different ones.  So a frequent
+line opens a block if the lines before it differ, and belongs to one if the
+line that is before it in most documents does; likewise from the end.  That is
+a pointer from each frequent line to the one before it, which jumps until it
+meets a line that opens a block or has none.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import PLACE, located, small_side, stored
+from ledgerlark.llm.common import PLACE, apart, located, small_side, stored
 
 #: Contract of the rules within a text.
 MIN_WORDS = 10
@@ -23,10 +28,10 @@ MAX_REPEAT_PERCENT = 20
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 
-#: Distinct documents of a host that may share a line.
-MAX_DOCUMENTS = 20
-#: A boilerplate line has at least this share of distinct neighbours per document, on one side.
-MIN_NEIGHBOURS = 0.5
+#: Distinct documents of a host that may share a line: a share of them, and so many anyway.
+MAX_PERCENT, FLOOR = 1, 10
+#: Words that a line which opens a block has at least.
+MIN_LINE_WORDS = 3
 #: Share of a document's words that must be left.
 MIN_LEFT = 0.3
 
@@ -104,12 +109,38 @@ def counts_within(rows: DataFrame, text: str) -> DataFrame:
     )
 
 
+def _of_a_block(lines: DataFrame, opens: str, pointer: str) -> DataFrame:
+    """(host, h) of the lines that open a block, or whose pointers lead to one that does.
+
+    A pointer jumps to its target's pointer in each round, so rounds are at
+    most the logarithm of the number of lines; lines that point in a circle
+    lead nowhere.
+    """
+    state = stored(
+        lines.select("host", "h", F.col(opens).alias("found"), F.when(~F.col(opens), F.col(pointer)).alias("to")),
+        "line-pointers",
+    )
+    for _ in range(max(1, state.count()).bit_length()):
+        target = state.select("host", F.col("h").alias("to"), F.col("found").alias("there"), F.col("to").alias("next"))
+        state = stored(
+            state.join(target, ["host", "to"], "left").select(
+                "host", "h", (F.col("found") | F.coalesce("there", F.lit(False))).alias("found"),
+                F.when(F.col("found") | F.coalesce("there", F.lit(False)), None).otherwise(F.col("next")).alias("to"),
+            ),
+            "line-jumps",
+        )
+        if not state.where("to is not null").take(1):
+            break
+    return state.where("found").select("host", "h")
+
+
 def frequent_lines(rows: DataFrame) -> DataFrame:
     """(host, h) of boilerplate among ``rows`` (host, text_hash, lines)."""
     around = F.transform(
         "lines",
         lambda x, i: F.struct(
             x["h"].alias("h"),
+            x["words"].alias("words"),
             F.get(F.col("lines"), F.greatest(i - 1, F.lit(0)))["h"].alias("before"),
             F.get(F.col("lines"), i + 1)["h"].alias("after"),
             (i == 0).alias("first"),
@@ -119,26 +150,40 @@ def frequent_lines(rows: DataFrame) -> DataFrame:
         "host",
         "text_hash",
         "x.h",
+        "x.words",
         F.when(~F.col("x.first"), F.col("x.before")).alias("before"),
         "x.after",
     )
-    often = (
-        met.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_DOCUMENTS).drop("n")
-    )
-    often = small_side(stored(often, "frequent-lines"), 40)
-    counted = (
-        met.join(often, ["host", "h"])
-        .groupBy("host", "h")
-        .agg(
-            F.count_distinct("text_hash").alias("documents"),
-            F.count_distinct("before").alias("befores"),
-            F.count_distinct("after").alias("afters"),
+    documents = rows.groupBy("host").agg(F.count_distinct("text_hash").alias("of"))
+    limits = documents.select("host", F.greatest(F.lit(FLOOR), F.col("of") * MAX_PERCENT / 100).alias("limit"))
+    limits = small_side(stored(limits, "host-limits"), F.length("host") + 24)
+    often = met.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FLOOR)
+    often = small_side(stored(often.join(limits, "host").where("n > limit").select("host", "h"), "frequent-lines"), 40)
+    met = stored(met.join(often, ["host", "h"]), "frequent-met")
+    counted = met.groupBy("host", "h").agg(
+        F.count_distinct("text_hash").alias("documents"), F.max("words").alias("words"),
+        F.count_distinct("before").alias("befores"), F.count_distinct("after").alias("afters"),
+    )
+    counted = stored(counted.join(limits, "host").where("documents > limit"), "line-counts")
+
+    def common(side: str) -> DataFrame:
+        """(host, h, side): the neighbour that a line has in over half of its documents."""
+        return (
+            met.groupBy("host", "h", side)
+            .agg(F.count_distinct("text_hash").alias("n"))
+            .join(counted.select("host", "h", "documents"), ["host", "h"])
+            .where(F.col(side).isNotNull() & (2 * F.col("n") > F.col("documents")))
+            .select("host", "h", side)
         )
+
+    long = F.col("words") >= MIN_LINE_WORDS
+    lines = counted.select(
+        "host", "h", (long & (2 * F.col("befores") >= F.col("documents"))).alias("opens"),
+        (long & (2 * F.col("afters") >= F.col("documents"))).alias("closes"),
     )
-    return counted.where(
-        (F.col("documents") > MAX_DOCUMENTS)
-        & (F.greatest("befores", "afters") >= MIN_NEIGHBOURS * F.col("documents"))
-    ).select("host", "h")
+    lines = lines.join(common("before"), ["host", "h"], "left").join(common("after"), ["host", "h"], "left")
+    lines = stored(lines, "line-neighbours")
+    return _of_a_block(lines, "opens", "before").unionByName(_of_a_block(lines, "closes", "after")).distinct()
 
 
 def judged(
@@ -180,6 +225,7 @@ def judged(
     )
 
 
+@apart
 def quality(docs: DataFrame) -> DataFrame:
     """The verdicts of ``judged`` without places and line hashes."""
     return judged(docs).select(
@@ -188,6 +234,7 @@ def quality(docs: DataFrame) -> DataFrame:
     )
 
 
+@apart
 def clean(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` without rejected documents, and without boilerplate lines in the others.
 

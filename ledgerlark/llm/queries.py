@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import bpe, exact_dedup, extraction, lm, packing, pii, quality, sharding, simhash, trie, warc
+from ledgerlark.llm import bpe, exact_dedup, extraction, language, lm, packing, pii, quality, sharding, simhash, trie, variants, warc
 from ledgerlark.llm.common import table
 
 SHARDS = 24
@@ -60,7 +60,7 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
     SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t
     FROM documents),
 w AS (
@@ -81,10 +81,27 @@ around AS (
     SELECT *, lag(l) OVER (PARTITION BY rid ORDER BY place) AS before,
            lead(l) OVER (PARTITION BY rid ORDER BY place) AS after
     FROM plain),
-frequent AS (
-    SELECT host, l FROM around GROUP BY host, l
-    HAVING count(DISTINCT t) > 20
-       AND greatest(count(DISTINCT before), count(DISTINCT after)) >= 0.5 * count(DISTINCT t)),
+hosts AS (SELECT host, greatest(10, count(DISTINCT t) * 1 / 100) AS max_documents FROM d GROUP BY host),
+often AS (
+    SELECT host, l, count(DISTINCT t) AS documents,
+           max(words) >= 3 AND 2 * count(DISTINCT before) >= count(DISTINCT t) AS opens,
+           max(words) >= 3 AND 2 * count(DISTINCT after) >= count(DISTINCT t) AS closes
+    FROM around JOIN hosts USING (host) GROUP BY host, l, max_documents HAVING count(DISTINCT t) > max_documents),
+follows AS (
+    SELECT host, l, before FROM around JOIN often USING (host, l) WHERE before IS NOT NULL
+    GROUP BY host, l, before, documents HAVING 2 * count(DISTINCT t) > documents),
+leads AS (
+    SELECT host, l, after FROM around JOIN often USING (host, l) WHERE after IS NOT NULL
+    GROUP BY host, l, after, documents HAVING 2 * count(DISTINCT t) > documents),
+opened AS (
+    SELECT host, l FROM often WHERE opens
+    UNION
+    SELECT follows.host, follows.l FROM opened JOIN follows ON follows.host = opened.host AND follows.before = opened.l),
+closed AS (
+    SELECT host, l FROM often WHERE closes
+    UNION
+    SELECT leads.host, leads.l FROM closed JOIN leads ON leads.host = closed.host AND leads.after = closed.l),
+frequent AS (SELECT * FROM opened UNION SELECT * FROM closed),
 removed AS (SELECT rid, sum(words) AS n FROM plain JOIN frequent USING (host, l) GROUP BY rid),
 counted AS (
     SELECT rid, doc_id, CAST(len(ws) AS BIGINT) AS n_words,
@@ -136,6 +153,46 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {bits}), {step}), 4294967295)"
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE runs AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc,
+           unnest(regexp_extract_all(translate(text, '{variants.UPPER}', '{variants.LOWER}'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run
+    FROM documents),
+counted AS (SELECT doc || ':' || run AS named, run, count(*) AS c FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+summed AS (SELECT run, c, {crc32_sql("named")} AS h FROM counted),
+changed AS (
+    SELECT c, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word
+    FROM summed),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM changed WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+places AS (
+    SELECT word, left(word, i) || '?' || substring(word, i + 2) AS masked, left(word, i) || substring(word, i + 2) AS shorter
+    FROM (SELECT word, unnest(range(0, length(word))) AS i FROM w)),
+near AS (
+    SELECT a.word, b.word AS other FROM places a JOIN places b ON a.masked = b.masked AND a.word <> b.word
+    UNION
+    SELECT a.word, b.word FROM places a JOIN w b ON a.shorter = b.word
+    UNION
+    SELECT b.word, a.word FROM places a JOIN w b ON a.shorter = b.word),
+ranked AS (
+    SELECT near.word, other, w.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+           row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, other) AS place
+    FROM near JOIN w ON w.word = other),
+formed AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form,
+           CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+    FROM w LEFT JOIN (SELECT * FROM ranked WHERE place = 1) USING (word)),
+chains AS (
+    SELECT word, word AS root, form AS onward FROM formed
+    UNION ALL
+    SELECT chains.word, f.word, f.form FROM chains JOIN formed f ON f.word = chains.onward)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM chains WHERE onward IS NULL) USING (word)
+"""
+
+
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return trie.prefix_trie(table(spark, folder, "conversations"))
 
@@ -178,6 +235,10 @@ LEFT JOIN nodes AS up ON nodes.d > 0 AND up.d = nodes.d - 1 AND up.q = nodes.q[1
 """
 
 
+def op13_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.languages(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_extraction": op2_extraction,
@@ -189,12 +250,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_language": op13_language,
 }
 
 ORACLES: dict[str, str] = {
     "op5_warc": OP5_SQL,
     "op7_quality": OP7_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op11_spelling_variants": OP11_SQL,
     "op12_prefix_trie": OP12_SQL,
 }

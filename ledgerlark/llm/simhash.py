@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import PLACE, located, small_side, stored, workers_see_package
+from ledgerlark.llm.common import PLACE, apart, located, small_side, stored, workers_see_package
 
 #: Contract of the near-duplicate stage.
 SHINGLE_WORDS = 4
@@ -230,6 +230,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels = following.select("value", "root")
 
 
+@apart
 def near_duplicates(
     docs: DataFrame,
     radius: int = RADIUS,
@@ -261,6 +262,7 @@ def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return grouped.join(least, "root").select("value", "root", "component_id")
 
 
+@apart
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id, nulls last, first in place.
 
