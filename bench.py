@@ -42,6 +42,8 @@ HEADLINE = (
     "question_plan",
     "tool_calls",
     "question_answers",
+    "published_runs",
+    "quoted_line_breaks",
     "ingest_outcomes",
     "ingest_daily",
 )

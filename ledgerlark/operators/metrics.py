@@ -27,6 +27,7 @@ from ledgerlark.operators.filters import (
     star_side,
     with_dimensions,
 )
+from ledgerlark.operators.rollups import KEYS, orders_since, variant_name
 from ledgerlark.sources.star import SalesStar
 
 DIMENSION_COLUMNS = dict(
@@ -73,17 +74,40 @@ def orphan_keys(star: SalesStar) -> DataFrame:
     )
 
 
-def _dashboard_sales(star: SalesStar, where: SalesFilter) -> DataFrame:
-    """Selected facts of a dashboard, which refuses a store that does not exist."""
+class _Selected:
+    """Selected rows, grouped by some keys at most: steps of a published rollup where it has them, else facts.
+
+    Rollups know stores and products, not names and categories.
+    """
+
+    def __init__(self, star: SalesStar, where: SalesFilter, by: tuple[str, ...] = (), in_range: Column | None = None):
+        self.rolled = star.rollups is not None and not (where.product_name or where.store_category)
+        if self.rolled:
+            keys = tuple(key for key in KEYS if key in by or (key == "store_id" and where.normal_store_id() is not None))
+            of_variant = star.rollups.where(F.col("variant") == variant_name(keys))
+            self.rows = of_variant.where(where.on_sales(in_range))
+        else:
+            self.rows = selected_sales(star, where, in_range=in_range)
+
+    def orders(self, start: Column) -> Column:
+        return orders_since(start) if self.rolled else orders()
+
+    def facts(self) -> Column:
+        return F.coalesce(F.sum("facts"), F.lit(0)) if self.rolled else F.count("*")
+
+
+def _dashboard(star: SalesStar, where: SalesFilter, *by: str) -> _Selected:
+    """Selected rows of a dashboard, which refuses a store that does not exist."""
     require_known_store(star, where.store_id)
-    return selected_sales(star, where)
+    return _Selected(star, where, by)
 
 
 def totals(star: SalesStar, where: SalesFilter) -> DataFrame:
     """One row: revenue, distinct orders, average order value."""
+    selected = _Selected(star, where)
     return (
-        selected_sales(star, where)
-        .agg(F.coalesce(F.sum("amount_cents"), F.lit(0)).alias("revenue_cents"), orders())
+        selected.rows
+        .agg(F.coalesce(F.sum("amount_cents"), F.lit(0)).alias("revenue_cents"), selected.orders(day(where.start_date)))
         .withColumn("average_order_value_cents", average_order_value())
     )
 
@@ -110,18 +134,15 @@ def _two_periods(
     check_range(previous_start, previous_end)
     in_current = F.col("date").between(day(where.start_date), day(where.end_date))
     in_previous = F.col("date").between(day(previous_start), day(previous_end))
-    rows = selected_sales(star, where, in_range=in_current | in_previous)
+    selected = _Selected(star, where, in_range=in_current | in_previous)
     if previous_end < where.start_date or where.end_date < previous_start:
         period = F.when(in_current, "current").otherwise("previous")
     else:
         period = F.explode(
             F.array_compact(F.array(F.when(in_current, "current"), F.when(in_previous, "previous")))
         )
-    per_period = (
-        rows.select("order_id", "amount_cents", period.alias("period"))
-        .groupBy("period")
-        .agg(revenue(), orders())
-    )
+    start = F.when(F.col("period") == "current", day(where.start_date)).otherwise(day(previous_start))
+    per_period = selected.rows.withColumn("period", period).groupBy("period").agg(revenue(), selected.orders(start))
 
     def of(name: str, column: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("period") == name, F.col(column))), F.lit(0))
@@ -196,10 +217,10 @@ def _check_metric(metric: str) -> None:
 
 def daily(star: SalesStar, where: SalesFilter) -> DataFrame:
     """One row per date with sales, in date order."""
+    selected = _dashboard(star, where)
     return (
-        _dashboard_sales(star, where)
-        .groupBy("date")
-        .agg(revenue(), orders())
+        selected.rows.groupBy("date")
+        .agg(revenue(), selected.orders(F.col("date")))
         .withColumn("average_order_value_cents", average_order_value())
         .orderBy("date")
     )
@@ -212,13 +233,14 @@ def trend(
     if granularity != "day":
         raise ValueError(f"trends are daily, not by {granularity}")
     _check_metric(metric)
-    rows = selected_sales(star, where).groupBy("date")
+    selected = _Selected(star, where)
+    rows, order_count = selected.rows.groupBy("date"), selected.orders(F.col("date"))
     if metric == "revenue":
         points = rows.agg(F.sum("amount_cents").alias("value"))
     elif metric == "order_count":
-        points = rows.agg(F.countDistinct("order_id").alias("value"))
+        points = rows.agg(order_count.alias("value"))
     else:
-        points = rows.agg(revenue(), orders()).select(
+        points = rows.agg(revenue(), order_count).select(
             "date", average_order_value().alias("value")
         )
     return points.orderBy("date")
@@ -232,11 +254,11 @@ def top_products(
     Facts are summed by product key alone; names are looked up for the few
     winners, so the product table is never shuffled.
     """
-    rows = _dashboard_sales(star, where)
+    selected = _dashboard(star, where, "product_id")
     order = (F.desc("revenue_cents"), F.asc("product_id"))
     winners = (
-        rows.groupBy("product_id")
-        .agg(F.sum("qty").alias("quantity"), revenue(), orders())
+        selected.rows.groupBy("product_id")
+        .agg(F.sum("qty").alias("quantity"), revenue(), selected.orders(day(where.start_date)))
         .orderBy(*order)
         .limit(limit)
         .withColumn("rank", F.row_number().over(Window.orderBy(*order)))
@@ -263,7 +285,8 @@ def store_comparison(star: SalesStar, where: SalesFilter) -> DataFrame:
     Facts are summed by store key before the store names are joined.  The
     total is a scalar subquery over these sums, not another scan of the facts.
     """
-    per_store = _dashboard_sales(star, where).groupBy("store_id").agg(revenue(), orders())
+    selected = _dashboard(star, where, "store_id")
+    per_store = selected.rows.groupBy("store_id").agg(revenue(), selected.orders(day(where.start_date)))
     total = per_store.agg(F.sum("revenue_cents")).scalar()
     names = star.stores.select("store_id", "store_name", "category", "district")
     return (
@@ -288,8 +311,9 @@ def coverage(star: SalesStar, where: SalesFilter, latest_run: DataFrame | None =
     ``latest_run`` is a one-row frame of the run ledger; its id and time are
     added as scalar subqueries.
     """
-    result = _dashboard_sales(star, where).agg(
-        F.count("*").alias("valid_rows"),
+    selected = _dashboard(star, where)
+    result = selected.rows.agg(
+        selected.facts().alias("valid_rows"),
         F.min("date").alias("date_min"),
         F.max("date").alias("date_max"),
     )

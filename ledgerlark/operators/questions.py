@@ -28,20 +28,25 @@ CHUNK_LETTERS = 128
 def with_history(messages: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """Adds ``history``: the up to eight messages before each message.
 
-    The window runs inside blocks of a conversation.  The last messages of
-    earlier blocks are handed on to the next one; this second path reads only
-    conversations that leave the first block.
+    The window runs inside blocks of a conversation.  A block's last messages
+    are handed on to the blocks after it, by conversation and block: one small
+    row per block, so no message meets another by its conversation alone.
+    Conversations that stay in their first block hand on nothing.
     """
     size = fixed.MAX_HISTORY
     message = F.struct("turn", "role", "text")
     blocked = messages.withColumn("block", F.floor(F.col("turn") / block_turns))
     in_block = Window.partitionBy("conv_id", "block").orderBy("turn")
-    rows = blocked.withColumn(
-        "near", F.collect_list(message).over(in_block.rowsBetween(-size, -1))
-    )
+    rows = blocked.withColumn("near", F.collect_list(message).over(in_block.rowsBetween(-size, -1)))
 
-    long = blocked.where(F.col("block") != 0).select("conv_id")
+    # a row per block beyond the first: as many as turns over block_turns
+    later = stored(
+        blocked.where(F.col("block") != 0).groupBy("conv_id", "block").agg(F.min("turn").alias("first")), "later-blocks"
+    )
+    if not later.take(1):
+        return rows.select(*messages.columns, F.col("near").alias("history"))
     last_first = Window.partitionBy("conv_id", "block").orderBy(F.desc("turn"))
+    long = broadcast_if_small(later.select("conv_id").distinct())
     tails = (
         blocked.join(long, "conv_id", "left_semi")
         .withColumn("from_end", F.row_number().over(last_first))
@@ -53,22 +58,16 @@ def with_history(messages: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFra
     blocks_before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(-size, -1)
     handed_on = tails.select(
         "conv_id", "block", F.flatten(F.collect_list("tail").over(blocks_before)).alias("far")
+    ).where(F.size("far") > 0)
+    needing = F.size("near") < size
+    both = F.concat("far", "near")
+    carried = (
+        rows.where(needing)
+        .join(handed_on, ["conv_id", "block"], "left")
+        .withColumn("both", F.coalesce(both, F.col("near")))
+        .select(*messages.columns, F.when(F.size("both") > size, F.slice("both", -size, size)).otherwise(F.col("both")).alias("history"))
     )
-
-    both = F.concat(F.coalesce(F.col("far"), F.array().cast(_MESSAGES)), F.col("near"))
-    return (
-        rows.join(handed_on, ["conv_id", "block"], "left")
-        .withColumn("both", both)
-        .select(
-            *messages.columns,
-            F.when(F.size("both") > size, F.slice("both", -size, size))
-            .otherwise(F.col("both"))
-            .alias("history"),
-        )
-    )
-
-
-_MESSAGES = "array<struct<turn: bigint, role: string, text: string>>"
+    return carried.unionByName(rows.where(~needing).select(*messages.columns, F.col("near").alias("history")))
 
 
 def _length_between(text: Column, low: int, high: int) -> Column:
@@ -88,6 +87,7 @@ def questions(messages_with_history: DataFrame) -> DataFrame:
         "turn",
         strip(F.col("text")).alias("current"),
         F.array_join(F.transform("history", lambda m: m["text"]), " ").alias("context"),
+        F.transform("history", lambda m: m["text"]).alias("said"),
         (F.size("history") > 0).alias("has_history"),
         F.when(~_length_between(F.col("text"), 1, fixed.MAX_QUESTION_CHARS), "question length")
         .when(~acceptable, "history")
@@ -158,6 +158,42 @@ def longest_product(texts: DataFrame, products: DataFrame, *ids: str) -> DataFra
     )
 
 
+def product_in_context(asked: DataFrame, products: DataFrame) -> DataFrame:
+    """The longest product name in what was ``said`` and the ``current`` text, per conv_id and turn.
+
+    The texts are joined by blanks.  A name lies within one of them or across a
+    seam, so each text is searched, and the surroundings of each seam as far as
+    the longest name reaches.  Up to nine questions share a text and its seams,
+    and equal texts are one: every one is searched once.
+    """
+    ids = ["conv_id", "turn"]
+    names = products.where(F.col("product_name") != "")
+    longest, blanks = names.agg(F.max(F.length("product_name")), F.max(F.col("product_name").contains(" "))).first()
+    if longest is None:
+        return asked.select(*ids, F.lit(None).cast("string").alias("product_name")).where("false")
+    said = F.when(F.size("said") == 0, F.array(F.lit(""))).otherwise(F.col("said"))
+    rows = asked.select(*ids, F.concat(said, F.array("current")).alias("texts"))
+    parts = F.col("texts")
+    if blanks:
+        reach = F.lit(longest - 1)
+        joined = lambda first, n: F.array_join(F.slice("texts", first, n), " ")
+        seam = lambda k: F.concat(
+            F.right(joined(F.lit(1), k), reach), F.lit(" "), F.left(joined(k + 1, F.size("texts")), reach)
+        )
+        parts = F.concat(parts, F.transform(F.sequence(F.lit(1), F.size("texts") - 1), seam))
+    searched = rows.select(*ids, F.explode(F.array_distinct(parts)).alias("text")).where(F.col("text") != "")
+    distinct = stored(
+        searched.select("text").distinct().withColumn("part", F.monotonically_increasing_id()), "searched-texts"
+    )
+    found = distinct.join(longest_product(distinct, products, "part"), "part").select("text", "product_name")
+    order = names.groupBy("product_name").agg(F.min("product_id").alias("first_id"))
+    best = F.struct(-F.length("product_name"), F.col("first_id"))
+    found = stored(found.join(broadcast_if_small(order), "product_name"), "found-products")
+    return searched.join(broadcast_if_small(found), "text").groupBy(*ids).agg(
+        F.min_by("product_name", best).alias("product_name")
+    )
+
+
 def _arguments(**values: Column) -> Column:
     return F.to_json(F.struct(*(value.alias(name) for name, value in values.items())))
 
@@ -200,10 +236,7 @@ def plan(asked: DataFrame, star: SalesStar) -> DataFrame:
         "questions",
     )
     # Only questions that reach the product rule are searched for a name.
-    texts = rows.where(F.col("intent") == "get_revenue").select(
-        "conv_id", "turn", F.concat_ws(" ", "context", "current").alias("text")
-    )
-    found = longest_product(texts, star.products, "conv_id", "turn")
+    found = product_in_context(rows.where(F.col("intent") == "get_revenue"), star.products)
 
     first, last = month_range(F.year("date_max"), F.col("month"))
     this_month, month_before = month_of(F.col("date_max")), previous_month(F.col("date_max"))

@@ -59,6 +59,19 @@ OUTCOMES = _struct(
     ("date", T.DateType()),
 )
 
+# Steps of orders by variant; the last column is a partition.
+ROLLUPS = _struct(
+    ("store_id", TEXT),
+    ("product_id", TEXT),
+    ("previous_date", T.DateType()),
+    ("date", T.DateType()),
+    ("amount_cents", WHOLE),
+    ("qty", WHOLE),
+    ("facts", WHOLE),
+    ("orders", WHOLE),
+    ("variant", TEXT),
+)
+
 SUMMARY = _struct(
     ("source_hash", TEXT),
     ("raw_sales", WHOLE),
@@ -71,8 +84,7 @@ SUMMARY = _struct(
     ("issue_counts", T.MapType(TEXT, WHOLE)),
 )
 
-# A run's number is its place in the order of publication, so two runs at a
-# time cannot take the same one.
+# A run's number is in the name of the file that publishes it.
 PUBLISHED_RUNS = _struct(
     ("folder", TEXT),
     ("source_hash", TEXT),

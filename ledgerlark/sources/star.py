@@ -10,6 +10,7 @@ Columns the metric layer relies on:
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +24,23 @@ class SalesStar:
     its product (published tables, or a checked foreign key).  Then a query
     joins only the dimensions whose columns it needs; otherwise facts without
     a partner are dropped first, as an inner join would.  ``measured`` keeps
-    the bytes of the dimensions once they are known.
+    the bytes of the dimensions, and the first and last date, once they are known.
+    ``rollups``, if there are any, answer what they can instead of the facts.
     """
 
     sales: DataFrame
     stores: DataFrame
     products: DataFrame
     keys_verified: bool = False
-    measured: dict[str, int] = field(default_factory=dict, compare=False)
+    measured: dict = field(default_factory=dict, compare=False)
+    rollups: DataFrame | None = None
+
+    def dates(self) -> tuple[date, date] | None:
+        """The first and the last date of the facts; None if there are none."""
+        if "dates" not in self.measured:
+            first, last = self.sales.agg(F.min("date"), F.max("date")).first()
+            self.measured["dates"] = None if first is None else (first, last)
+        return self.measured["dates"]
 
 
 def warehouse_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,8 +52,11 @@ def warehouse_star(spark: SparkSession, folder: str) -> SalesStar:
     """Order lines of the warehouse tables as sales, parts as products and
     suppliers as stores, whose category is the region and district the nation.
 
-    Nothing proves the keys of files, so facts without a partner are dropped.
+    The files' keys are verified once for each state of the files; if some fact
+    has no partner, every query drops such facts.
     """
+    from ledgerlark.sources.proof import proven
+
     lines = warehouse_table(spark, folder, "lineitem")
     sales = lines.select(
         F.col("l_orderkey").cast("string").alias("order_id"),
@@ -72,4 +85,5 @@ def warehouse_star(spark: SparkSession, folder: str) -> SalesStar:
         F.col("p_type").alias("product_category"),
         F.round(F.col("p_retailprice") * 100).cast("bigint").alias("unit_price_cents"),
     )
-    return SalesStar(sales, stores, products)
+    tables = ("lineitem", "supplier", "nation", "region", "part")
+    return proven(SalesStar(sales, stores, products), [f"{folder}/{name}.parquet" for name in tables])

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import csv
 import json
-from datetime import date
+import random
+from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
@@ -17,6 +18,7 @@ from ledgerlark.operators.filters import SalesFilter
 from ledgerlark.plans import ingest as ingest_job
 from ledgerlark.plans.ingest import ingest
 from ledgerlark.plans.raw_sales import raw_products, raw_sales, raw_stores
+from ledgerlark.sources import csv as csv_source
 from ledgerlark.sources.published import PublishedTables
 
 STORES = [("K7", "Lantern Yard", "饺子", "河港")]
@@ -235,6 +237,89 @@ def test_quoted_line_breaks(spark, tmp_path):
     assert [(row.row_number, row.payment) for row in raw] == [(2, "a\nb"), (3, "card")]
 
 
+@pytest.mark.parametrize("split", ["40", "97", "1m"])
+def test_quoted_line_breaks_on_split_edges_equal_python_csv(spark, tmp_path, split):
+    """Breaks, blank lines, quotes, commas and header-like lines inside quotes; stray quotes outside; two files."""
+    source = random.Random(3)
+    bits = ["a", ",", "\n", '"', "\r\n", "\n\n", " ", "é", 'x"y', "order_id,date", ""]
+    folder = tmp_path / "text.csv"
+    folder.mkdir()
+    want = []
+    for name in ("a.csv", "b.csv"):
+        rows = [["".join(source.choices(bits, k=source.randrange(6))) for _ in range(2)] + [str(i)] for i in range(60)]
+        with (folder / name).open("w", encoding="utf-8", newline="") as out:
+            writer = csv.writer(out, lineterminator="\r\n" if name == "a.csv" else "\n")
+            writer.writerow(["one", "two", "n"])
+            writer.writerows(rows)
+            out.write('12" wide,5" high,900\n\n   \nplain,"last\n",901')
+        with (folder / name).open(encoding="utf-8", newline="") as file:
+            want += [(name, *row) for row in csv.reader(file) if row and row[-1].strip() and row[-1] != "n"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows = csv_source.read_text_cells(spark, str(folder), multiline=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    rows.sort(key=lambda r: (r.source_file, r.split_start, r.read_order))
+    assert [(r.source_file.rpartition("/")[2], r.one, r.two, r.n) for r in rows] == want
+    if split == "97":
+        assert len({(r.source_file, r.split_start) for r in rows}) > 20
+
+
+def test_open_quotes_and_other_headers_stop_multiline_reading(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,y\n1,"2\n3,4\n')
+    with pytest.raises(ValueError, match="left open"):
+        csv_source.read_text_cells(spark, str(tmp_path / "a.csv"), multiline=True)
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.csv").write_text('x,y\n1,"2\n3"\n')
+    (tmp_path / "d" / "b.csv").write_text("y,x\n1,2\n")
+    with pytest.raises(PySparkException, match="CSV header does not conform"):
+        csv_source.read_text_cells(spark, str(tmp_path / "d"), multiline=True).collect()
+
+
+def test_numbers_stay_when_clocks_disagree_and_killed_runs_leave_nothing(spark, tmp_path, monkeypatch):
+    data, out = write_inputs(tmp_path / "data"), str(tmp_path / "out")
+    hours = iter([9, 12, 5, 6])  # the second run's clock is behind
+    monkeypatch.setattr(ingest_job, "_now", lambda: datetime(2025, 1, 1, next(hours)))
+    for _ in range(2):
+        ingest(spark, data, out)
+    tables = PublishedTables(spark, out)
+    runs = {r.run_id: r for r in tables.runs().collect()}
+    assert [runs[n].completed_at.hour for n in (1, 2)] == [12, 6]
+    assert tables.at_latest().run == runs[2].folder
+    # a run that was stopped after it wrote its row aside, and one that lost its number to another run
+    killed = PublishedTables(spark, out, run="killed")
+    row = {**runs[1].asDict(), "folder": "killed"}
+    with monkeypatch.context() as broken:
+        broken.setattr("ledgerlark.sources.files.HadoopFiles.renamed", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            killed.publish(row)
+    assert tables.latest_run_id() == 2
+    late = PublishedTables(spark, out, run="late")
+    with monkeypatch.context() as stale:
+        stale.setattr(PublishedTables, "latest_run_id", lambda self: 0)
+        assert late.publish({**row, "folder": "late"}) == 3
+    assert {r.run_id: r.folder for r in tables.runs().collect()} == {1: runs[1].folder, 2: runs[2].folder, 3: "late"}
+
+
+def test_fingerprint_follows_the_bytes(spark, tmp_path, monkeypatch):
+    from ledgerlark.sources import digest
+
+    monkeypatch.setattr(digest, "BRANCH", 3)
+    path = tmp_path / "a.csv"
+    texts = ["a,b\n1,2\n", "a,b\n1,2", "a,b\r\n1,2\n", "a,b\n2,1\n", "a,b\n" + "x\n" * 50, "a,b\n" + "x\n" * 49 + "y\n", "\n", ""]
+    seen = {}
+    for text in texts:
+        path.write_bytes(text.encode())
+        seen[text] = digest.byte_digest(spark, {"a": str(path)})
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7")
+        try:
+            assert digest.byte_digest(spark, {"a": str(path)}) == seen[text]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(set(seen.values())) == len(texts)
+
+
 @pytest.mark.parametrize(
     ("inputs", "text"),
     [

@@ -177,6 +177,35 @@ def test_warehouse_facts_without_a_partner_do_not_count(spark, tmp_path):
     assert found == rows(metrics.totals(warehouse_star(spark, folder), everything))
 
 
+def test_files_are_verified_once_for_each_state(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from ledgerlark.sources import proof
+    from ledgerlark.sources.star import warehouse_star
+
+    folder = "/root/testdata/sf0.001"
+    for name in ("nation", "region", "supplier", "part"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{folder}/{name}.parquet")
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    checks = []
+    verified = proof._verified
+    monkeypatch.setattr(proof, "_verified", lambda star: checks.append(1) or verified(star))
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
+    try:
+        star = warehouse_star(spark, str(tmp_path))
+        assert star.keys_verified and checks == [1]
+        assert star.dates() == tuple(star.sales.agg(F.min("date"), F.max("date")).first())
+        warehouse_star(spark, str(tmp_path))
+        proof._KNOWN.clear()  # as another application would find it
+        assert warehouse_star(spark, str(tmp_path)).keys_verified and checks == [1]
+        orphan = lines.limit(1).withColumn("l_suppkey", F.lit(10**6).cast(lines.schema["l_suppkey"].dataType))
+        orphan.write.mode("append").parquet(str(tmp_path / "lineitem.parquet"))
+        assert not warehouse_star(spark, str(tmp_path)).keys_verified and checks == [1, 1]
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+
+
 def test_dashboards_refuse_an_unknown_store(small_star):
     for build in (metrics.dashboard_summary, metrics.daily, metrics.top_products, metrics.store_comparison, metrics.coverage):
         with pytest.raises(ValueError, match="unknown store_id"):
@@ -200,3 +229,32 @@ def test_plans_stay_in_the_jvm_and_push_filters_down(spark, capsys):
     assert "GreaterThanOrEqual(l_shipdate" in plan and "EqualTo(l_suppkey,3)" in plan
     assert "TakeOrderedAndProject" in plan
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_dashboards_from_rollups_equal_those_from_facts(spark, small_star):
+    """Orders on several days, in several stores and on a third of all lines; ranges that start within orders."""
+    import random
+    from dataclasses import replace
+    from datetime import timedelta
+
+    from ledgerlark.operators.rollups import rollups
+
+    source = random.Random(2)
+    first = date(2025, 3, 1)
+    facts = [
+        ("HOT" if source.random() < 0.3 else f"O{source.randrange(40)}", first + timedelta(days=source.randrange(30)),
+         source.choice(["N1", "N2"]), source.choice(["D1", "D2"]), source.randrange(1, 5), source.randrange(-200, 900))
+        for _ in range(300)
+    ]
+    star = replace(small_star, sales=spark.createDataFrame(facts, small_star.sales.schema))
+    rolled = replace(star, rollups=rollups(star.sales), sales=star.sales.where("cast(raise_error('facts are not read') as boolean)"))
+    for start, length in ((0, 30), (4, 9), (13, 0), (40, 5)):
+        for store in (None, "N2"):
+            where = SalesFilter(first + timedelta(days=start), first + timedelta(days=start + length), store_id=store)
+            before = (where.start_date - timedelta(days=7), where.start_date + timedelta(days=3))
+            for build in (
+                metrics.totals, metrics.dashboard_summary, metrics.daily, metrics.top_products, metrics.store_comparison,
+                metrics.coverage, lambda s, w: metrics.trend(s, "order_count", w),
+                lambda s, w: metrics.compare_periods(s, "average_order_value", w, *before),
+            ):
+                assert rows(build(rolled, where)) == rows(build(star, where)), (where, build)

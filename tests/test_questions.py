@@ -223,3 +223,20 @@ def test_all_tools_together(spark, star, quality_run):
     assert found["back"].status == "start_date must not be after end_date" and found["back"].answer is None
     assert found["flat"].answer == "最近一个完整月的客单价为 暂无数据，相比上月持平，缺少可用基线。"
     assert found["sql"].status == "unsupported tool: run_sql" and found["sql"].result is None
+
+
+def test_names_in_texts_and_across_seams_against_brute_force(spark):
+    source = random.Random(9)
+    names = ["ab", "a b", "b a b", "ba ab a", " a", "b ", "a", "ab ba ab ab", "豆 浆", "浆", "zz"]
+    products = [(f"D{source.randrange(99):02d}{i}", name, "c", 1) for i, name in enumerate(names)]
+    products += [("D000", "a b", "c", 1), ("D99", "", "c", 1)]
+    word = lambda: "".join(source.choices(["a", "b", "ab", " ", "豆", "浆", "x"], k=source.randrange(5)))
+    rows = [(i, i % 3, [word() for _ in range(source.randrange(9))], word() or "x") for i in range(150)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, said array<string>, current string")
+    table = spark.createDataFrame(products, "product_id string, product_name string, product_category string, unit_price_cents long")
+    found = {(r.conv_id, r.turn): r.product_name for r in questions.product_in_context(frame, table).collect()}
+    for conv, turn, said, current in rows:
+        text = " ".join(said) + " " + current
+        inside = sorted((-len(n), min(p for p, x, *_ in products if x == n), n) for n in names if n in text)
+        assert found.get((conv, turn)) == (inside[0][2] if inside else None), (said, current)
+    assert questions.product_in_context(frame, table.where("false")).count() == 0
