@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.bpe import byte_letters
-from ledgerlark.llm.common import numbered, small_batches, small_side, stored, workers_see_package
+from ledgerlark.llm.common import new_names, numbered, small_batches, small_side, stored, workers_see_package
 
 CAPACITY = 2048
 END = 0
@@ -284,22 +284,28 @@ def packed(rows: DataFrame, order: list[str], capacity: int = CAPACITY, written:
     replaced.  ``written`` rows come straight from files and are not written
     again.  An empty input gives no rows.
     """
-    sorted_rows = numbered(rows.drop("sequence_id", "offset"), ["length", *order], "_rank", written)
+    plain = rows.drop("sequence_id", "offset")
+    rank, own = new_names(plain, "rank", "own_length")
+    sorted_rows = numbered(plain, ["length", *order], rank, written)
     runs = stored(
-        sorted_rows.groupBy("length").agg(F.min("_rank").alias("first"), F.count(F.lit(1)).alias("n"))
+        sorted_rows.groupBy("length").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
         .withColumnRenamed("length", "size"),
         "packing-runs",
     )
     if not runs.take(1):
-        return sorted_rows.drop("_rank").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    places = small_side(best_fit(runs, capacity).withColumnRenamed("length", "_length"), 40)
-    within = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("rank")) & (
-        F.col("_rank") < F.col("rank") + F.col("n")
+        return plain.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    names = {"length": own, "rank": "run_rank", "sequence": "run_sequence", "offset": "offset", "n": "run_n"}
+    places = small_side(best_fit(runs, capacity).withColumnsRenamed(names), 40)
+    places = places.select(F.col(own), F.struct("run_rank", "run_sequence", "offset", "run_n").alias(f"{own}_run"))
+    run = F.col(f"{own}_run")
+    within = (F.col("length") == F.col(own)) & (F.col(rank) >= run["run_rank"]) & (
+        F.col(rank) < run["run_rank"] + run["run_n"]
     )
     return (
         sorted_rows.join(places, within)
-        .withColumn("sequence_id", F.col("sequence") + F.col("_rank") - F.col("rank"))
-        .select(*sorted_rows.drop("_rank").columns, "sequence_id", "offset")
+        .withColumn("sequence_id", run["run_sequence"] + F.col(rank) - run["run_rank"])
+        .withColumn("offset", run["offset"])
+        .select(*plain.columns, "sequence_id", "offset")
     )
 
 

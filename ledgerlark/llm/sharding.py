@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import numbered, workers_see_package
+from ledgerlark.llm.common import new_names, numbered, workers_see_package
 
 ROUNDS = 6
 
@@ -94,11 +94,12 @@ def shard_rows(rows: DataFrame, order: list[str], shards: int, seed: int = 0) ->
         for batch in batches:
             yield pd.Series(permuted(batch.to_numpy(), total, seed).astype(np.int64))
 
+    place = new_names(counted, "permuted")[0]
     return (
-        counted.withColumn("_permuted", permute("row_number"))
-        .withColumn("shard", (F.col("_permuted") % shards).cast("int"))
-        .withColumn("slot", F.floor(F.col("_permuted") / shards))
-        .drop("_permuted")
+        counted.withColumn(place, permute("row_number"))
+        .withColumn("shard", (F.col(place) % shards).cast("int"))
+        .withColumn("slot", F.floor(F.col(place) / shards))
+        .drop(place)
     )
 
 

@@ -23,7 +23,8 @@ def awkward(spark, repeats: int = 1):
         (8, "one", "en", "a", 3),
     ] * repeats
     frame = spark.createDataFrame(rows, DOCS).coalesce(2)
-    for name in ("shard", "slot", "value", "row_number", "kept", "root", "size", "length"):
+    names = ("shard", "slot", "value", "row_number", "kept", "root", "size", "length")
+    for name in (*names, "_kept", "_tie", "_part", "_place", "_cuts", "_removed", "_row_file", "_row_place"):
         frame = frame.selectExpr("*", f"'clash' as {name}")
     return frame
 

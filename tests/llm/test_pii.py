@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from ledgerlark.llm import pii
 from tests.llm.helpers import DOCS, awkward, empty
 
@@ -133,3 +135,41 @@ def test_masking(spark):
 def test_empty(spark):
     assert pii.personal_data(empty(spark)).count() == 0
     assert pii.masked(empty(spark)).count() == 0
+
+
+def test_a_failed_number_is_no_address(spark):
+    rows = [(i, f"mail w{i}@b.cd and e{i}@f.gh then", "en", "s", 1) for i in range(6)]
+    rows += [(50, "card 4111 1111 1111 1111 and 4111-1111-1111-1112 then", "en", "s", 1), (51, "w and x9@y then", "en", "s", 1)]
+    out = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out[50].spans == "card:5:24" and out[50].n_card == 1
+    assert out[51].spans in ("", "email:6:10")
+
+
+def test_words_at_the_edge_of_the_context_are_whole(spark):
+    """The words before a match count whole, however long they are."""
+    long = "q" * 200
+    rows = [(i, f"{'x' * i} {long}phone: +1 (988) 555-24{i:02d} end", "en", "s", 1) for i in range(8)]
+    rows += [(50, f"w {long}phone: 0988-555-2485 end", "en", "s", 1), (51, f"w {long[:150]}phone: 0988-555-2486 end", "en", "s", 1)]
+    out = {r.doc_id: r.n_found for r in pii.personal_data(spark.createDataFrame(rows, DOCS)).collect()}
+    assert (out[50], out[51]) == (1, 0)
+
+
+def test_masking_takes_time_in_proportion_and_keeps_columns(spark):
+    n = 50_000
+    text = " ".join(f"é{i % 7} a{i}@b.cd" for i in range(n)) + " \U0001f600"
+    plain = spark.createDataFrame([(1, text, "en", "s", 1), (2, None, "en", "s", 1), (3, "a@b.cd", "en", "s", 1)], DOCS)
+    docs = plain.selectExpr("*", *(f"doc_id as {name}" for name in ("_cuts", "_masked", "_row_file", "_row_place", "_blocks", "`a.b`")))
+    out = {r.doc_id: r for r in pii.masked(docs).collect()}
+    assert out[1].text == " ".join(f"é{i % 7} [EMAIL]" for i in range(n)) + " \U0001f600"
+    assert out[1].n_chars == len(out[1].text) and out[3].text == "[EMAIL]" and out[2].text is None
+    assert pii.masked(docs).columns == docs.columns and all(r["_cuts"] == r["a.b"] == d for d, r in out.items())
+    assert pii.personal_data(docs).count() == 3
+
+
+def test_blocks_against_slices(spark):
+    text = "".join(chr(97 + i % 26) if i % 50 else "\U0001f600" for i in range(3000))
+    cuts = [(0, 0), (0, 5), (511, 512), (512, 512), (500, 513), (0, 1024), (1023, 2049), (5, 3000), (2999, 3000), (3000, 3000), (1024, 3072)]
+    frame = spark.createDataFrame([(text, a, b) for a, b in cuts], "text string, a int, b int")
+    blocks = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{pii.BLOCK}}}"), F.lit(0))
+    for row in frame.select("a", "b", pii._between(blocks, F.col("a"), F.col("b")).alias("part")).collect():
+        assert row.part == text[row.a : row.b]

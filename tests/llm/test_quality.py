@@ -79,3 +79,38 @@ def test_awkward_rows(spark):
 def test_empty(spark):
     assert quality.quality(empty(spark)).count() == 0
     assert quality.clean(empty(spark)).count() == 0
+
+
+def test_blocks_of_lines_go_whole(spark):
+    """A footer of three lines, also in a host of 20 documents, which a short line opens."""
+    footer = "Read more stories\nterms\nall rights reserved by us"
+    rows = [(i, f"{body(i)}\n{body(500 + i)}\n{footer}", "en", "h", 0) for i in range(20)]
+    rows += [(100 + i, f"{footer}\n{body(100 + i)}", "en", "g", 0) for i in range(12)]
+    rows += [(200 + i, f"{footer}\n{body(200 + i)}", "en", "few", 0) for i in range(9)]
+    docs = spark.createDataFrame(rows, DOCS)
+    removed = {r.doc_id: r.n_removed_words for r in quality.judged(docs).collect()}
+    assert {removed[i] for i in range(20)} == {9} and {removed[100 + i] for i in range(12)} == {9}
+    assert {removed[200 + i] for i in range(9)} == {0}
+    left = {r.doc_id: r.text for r in quality.clean(docs).collect()}
+    assert left[3] == f"{body(3)}\n{body(503)}" and left[103] == body(103)
+
+
+def test_the_limit_follows_the_host(spark):
+    """The same rows as one host and as ten: the footer goes either way, lines that few share stay."""
+    def text(i):
+        shared = f"a line that few documents share {i % 150}"
+        return f"{body(i)}\n{shared}\n{body(5000 + i)}\nall rights are reserved"
+    for hosts in (1, 10):
+        rows = [(i, text(i), "en", f"h{i % hosts}", 0) for i in range(1500)]
+        judged = quality.judged(spark.createDataFrame(rows, DOCS)).collect()
+        assert {r.n_removed_words for r in judged} == {4} and all(r.kept for r in judged)
+
+
+def test_clashing_columns(spark):
+    docs = boilerplate_docs(spark)
+    names = ("_removed", "_kept", "_t", "_row_file", "_row_place", "_words", "`a.b`")
+    clashing = docs.selectExpr("*", *(f"doc_id as {name}" for name in names))
+    out = quality.clean(clashing)
+    assert out.columns == clashing.columns and out.count() == quality.clean(docs).count()
+    assert all(r["_removed"] == r["a.b"] == r.doc_id for r in out.collect())
+    assert quality.quality(clashing).count() == docs.count()
