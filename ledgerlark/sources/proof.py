@@ -79,6 +79,10 @@ def _kept(spark: SparkSession, folder: str) -> Proof | None:
     return None if row is None else Proof(**row.asDict())
 
 
+def _home(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 def proven(star: SalesStar, paths: list[str]) -> SalesStar:
     """``star`` with what is known of the files that it is made from.
 
@@ -87,7 +91,7 @@ def proven(star: SalesStar, paths: list[str]) -> SalesStar:
     """
     spark = star.sales.sparkSession
     key = (spark.sparkContext.applicationId, state_of(spark, paths))
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = _home(spark)
     folder = None if base is None else f"{base.rstrip('/')}/proofs/{key[1]}"
     found = _KNOWN.get(key) or (folder and _kept(spark, folder))
     if not found:
