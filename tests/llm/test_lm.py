@@ -18,33 +18,39 @@ def tokens(text):
     return [w for w in text.split(" ") if w] + ["</s>"]
 
 
-def plain_model(texts):
-    """Modified Kneser-Ney over pairs, by the textbook."""
-    words, pairs = Counter(), Counter()
+def plain_model(texts, order):
+    """Modified Kneser-Ney over pairs or triples, by the textbook; a text begins with order - 1 marks."""
+    words, grams = Counter(), Counter()
     for text in texts:
         own = tokens(text)
         words.update(own)
-        pairs.update(zip(["<s>", *own], own))
-    first = Counter()
-    for (u, _), c in pairs.items():
-        first[u] += c
-    before = Counter(v for _, v in pairs)
-    d = lm.discounts([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)])
-    e = lm.discounts([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)])
-    size = len(words)
-    spare = sum(e[min(c, 3)] for c in before.values()) / len(pairs) if pairs else 1.0
-
-    def lower(v):
-        return (max(before[v] - e[min(before[v], 3)], 0) / len(pairs) if pairs else 0) + spare / (size + 1)
-
-    def p(u, v):
-        if not first[u]:
-            return lower(v)
-        left = sum(d[min(c, 3)] for (a, _), c in pairs.items() if a == u) / first[u]
-        c = pairs[u, v]
-        return max(c - d[min(c, 3)], 0) / first[u] + left * lower(v)
-
-    return words, p, lower
+        own = ["<s>"] * (order - 1) + own
+        grams.update(tuple(own[i : i + order]) for i in range(len(own) - order + 1))
+    levels = [grams]
+    while len(next(iter(levels[-1]), "x")) > 1:
+        levels.append(Counter(gram[1:] for gram in levels[-1]))
+    *upper, before = levels
+    cuts = [lm.discounts([sum(c == k for c in level.values()) for k in (1, 2, 3, 4)]) for level in levels]
+    followers = [{} for _ in upper]
+    for found, level in zip(followers, upper):
+        for gram, c in level.items():
+            found.setdefault(gram[:-1], []).append(c)
+    size, total = len(words), sum(before.values())
+    spare = sum(cuts[-1][min(c, 3)] for c in before.values()) / total if total else 1.0
+
+    def p(*gram):
+        if len(gram) == 1:
+            c = before[gram]
+            return (max(c - cuts[-1][min(c, 3)], 0) / total if total else 0) + spare / (size + 1)
+        level = order - len(gram)
+        counts = followers[level].get(gram[:-1])
+        if not counts:
+            return p(*gram[1:])
+        c, cut = upper[level][gram], cuts[level]
+        left = sum(cut[min(k, 3)] for k in counts) / sum(counts)
+        return max(c - cut[min(c, 3)], 0) / sum(counts) + left * p(*gram[1:])
+
+    return words, p
 
 
 @pytest.fixture(scope="module")
@@ -57,38 +63,68 @@ def docs(spark):
         awkward(spark).where("length(text) < 1000 or text is null").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
-def test_scores_against_the_textbook(spark, docs, monkeypatch):
+@pytest.mark.parametrize(("order", "hot"), [(2, lm.HOT), (3, lm.HOT), (2, 50), (3, 50)])
+def test_scores_against_the_textbook(spark, docs, order, hot):
     rows = docs.collect()
     out = lambda doc: zlib.crc32(str(doc).encode() if doc is not None else b"") % 10 == 0
-    words, p, _ = plain_model([r.text for r in rows if not out(r.doc_id)])
+    words, p = plain_model([r.text for r in rows if not out(r.doc_id)], order)
     total, size = sum(words.values()), len(words)
+    assert max(words.values()) > 2 * 50
     want = []
     for r in rows:
         own = tokens(r.text)
         base = sum(math.log10((words[w] + 0.1) / (total + 0.1 * (size + 1))) for w in own)
-        score = sum(math.log10(p(u, v)) for u, v in zip(["<s>", *own], own))
+        marked = ["<s>"] * (order - 1) + own
+        score = sum(math.log10(p(*marked[i : i + order])) for i in range(len(own)))
         want.append((str(r.doc_id), out(r.doc_id), len(own), sum(words[w] > 0 for w in own), total, base, score))
-    got = [(str(r.doc_id), *r[1:7]) for r in lm.language_scores(docs).collect()]
+    got = [(str(r.doc_id), *r[1:7]) for r in lm.language_scores(docs, order=order, hot=hot).collect()]
     key = lambda x: (*map(str, x[:5]), round(x[5], 6))
     for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
-def test_probabilities_sum_to_one(docs):
-    _, p, lower = plain_model([r.text for r in docs.collect()])
-    words = plain_model([r.text for r in docs.collect()])[0]
-    assert sum(map(lower, [*words, "never"])) == pytest.approx(1)
-    assert sum(p("w1", v) for v in [*words, "never"]) == pytest.approx(1)
+@pytest.mark.parametrize("order", [2, 3])
+def test_probabilities_sum_to_one(docs, order):
+    words, p = plain_model([r.text for r in docs.collect()], order)
+    for context in [("w1",) * k for k in range(order)] + [("<s>",) * (order - 1)]:
+        assert sum(p(*context, v) for v in [*words, "never"]) == pytest.approx(1)
 
 
-def test_hot_words_are_dealt_by_the_second_word():
+def test_hot_words_are_dealt_by_the_others():
     import numpy as np
 
     second = np.arange(10_000)
-    hot = lm.pair_bucket(np.full(10_000, 7), second, np.full(10_000, 20 * lm.HOT), 4)
-    cold = lm.pair_bucket(np.full(10_000, 7), second, np.full(10_000, 5), 4)
+    hot = lm.dealt(np.full(10_000, 7), second, np.full(10_000, 20 * lm.HOT), 4, lm.HOT)
+    cold = lm.dealt(np.full(10_000, 7), second, np.full(10_000, 5), 4, lm.HOT)
     assert len(set(hot.tolist())) > 8 and len(set(cold.tolist())) == 1
+    assert hot.min() >= 16 > cold.max()
+
+
+def test_counts_and_lists(tmp_path):
+    import numpy as np
+
+    pick = np.random.default_rng(3)
+    counts = pick.choice([1, 2, 254, 255, 256, 1 << 40], 1000)
+    arrays = [lm.mapped(x) for x in lm.save_counts(str(tmp_path), counts)]
+    assert (lm.read_counts(arrays, np.arange(1000)) == counts).all()
+    keys = np.unique(pick.integers(0, 300, (500, 2)), axis=0)
+    lists = [lm.mapped(x) for x in lm.save_lists(str(tmp_path), keys[:, 0], keys[:, 1])]
+    wanted = pick.integers(-1, 301, (2000, 2))
+    wanted[:, 0] = np.maximum(wanted[:, 0], 0)
+    places = {tuple(row): i for i, row in enumerate(keys.tolist())}
+    at, found = lm.seek(lists, wanted[:, 0], wanted[:, 1])
+    assert found.tolist() == [tuple(row) in places for row in wanted.tolist()]
+    assert all(at[i] == places[tuple(wanted[i].tolist())] for i in np.flatnonzero(found))
+    for kind in (np.uint32, np.uint64):
+        parts = [pick.integers(0, 1 << 31, n).astype(kind) for n in (0, 1, 700)]
+        assert (lm.unpacked([lm.packed(x) for x in parts], kind) == np.concatenate(parts)).all()
+
+
+def test_other_orders_are_refused(docs):
+    with pytest.raises(ValueError):
+        lm.language_scores(docs, order=4)
 
 
 def test_empty(spark):
     assert lm.language_scores(empty(spark)).count() == 0
+    assert lm.language_scores(empty(spark), order=2).count() == 0
