@@ -99,13 +99,13 @@ def mapped(place: str) -> np.ndarray:
     if not size:
         return np.zeros(0, kind)
     if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, kind, "r")
+        return np.memmap(path, kind, "r").view(np.ndarray)
     copy = tempfile.TemporaryFile()
     with store.open_input_stream(path) as source:
         while block := source.read(1 << 22):
             copy.write(block)
     copy.flush()
-    return np.memmap(copy, kind, "r")
+    return np.memmap(copy, kind, "r").view(np.ndarray)
 
 
 @dataclass
@@ -318,19 +318,21 @@ def seek(arrays: list[np.ndarray], heads: np.ndarray, items: np.ndarray) -> tupl
 
 def within(listed: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, whether there) of each wanted item in its own sorted part of ``listed``."""
-    low, end = low.copy(), high
-    high = high.copy()
-    open_rows = np.flatnonzero(low < high)
-    while len(open_rows):
-        middle = (low[open_rows] + high[open_rows]) >> 1
-        right = listed[middle] < wanted[open_rows]
-        low[open_rows[right]] = middle[right] + 1
-        high[open_rows[~right]] = middle[~right]
-        open_rows = open_rows[low[open_rows] < high[open_rows]]
-    inside = low < end
-    found = np.zeros(len(low), bool)
-    found[inside] = listed[low[inside]] == wanted[inside]
-    return low, found
+    length = high - low
+    steps = np.frexp(np.maximum(length - 1, 0))[1].astype(np.int16)
+    order = np.argsort(-steps, kind="stable")  # those with steps left stay in front
+    at, length, item = low[order], length[order], wanted[order]
+    with_steps = np.bincount(steps).cumsum() if len(steps) else np.zeros(1, np.int64)
+    for done in with_steps[:-1].tolist() if len(with_steps) else []:
+        n = len(order) - done
+        half = length[:n] >> 1
+        at[:n] += half * (listed[at[:n] + half - 1] < item[:n])
+        length[:n] -= half
+    there = np.flatnonzero(length)
+    places, found = np.empty(len(order), np.int64), np.zeros(len(order), bool)
+    places[order] = at
+    found[order[there]] = listed[at[there]] == item[there]
+    return places, found
 
 
 @dataclass(frozen=True)
@@ -598,29 +600,31 @@ class Model:
         return interpolated(counts, sums, self.of_pairs, self.word_probabilities(c.second))
 
     def triple_probabilities(self, c: Context) -> np.ndarray:
-        """Of each word after the two words before it."""
+        """Of each word after the two words before it; in any order, fastest if sorted by these."""
         known = np.flatnonzero((c.before >= 0) & (c.first >= 0))
         counts = np.zeros(len(c.first), np.int64)
         sums = np.zeros((len(c.first), COLUMNS - 1), np.int64)
         buckets = dealt(c.first[known], _both(c.before[known], c.second[known]), c.first_count[known], self.bits, self.hot)
         for arrays, rows in self.in_buckets("triples", buckets):
-            cold = c.first_count[known[rows[0]]] < self.hot
-            rows = known[rows]
-            context, found = seek(arrays[:3], c.first[rows], c.before[rows])
-            context, rows = context[found], rows[found]
+            cold, rows = c.first_count[known[rows[0]]] < self.hot, known[rows]
+            begins = _begins(c.first[rows], c.before[rows])  # rows come sorted by their contexts
+            each = np.diff(np.append(begins, len(rows)))
+            context, found = seek(arrays[:3], c.first[rows[begins]], c.before[rows[begins]])
+            context, each, rows = context[found], each[found], rows[np.repeat(found, each)]
             starts, last, *numbers, long, long_sums = arrays[3:]
             low, high = starts[context].astype(np.int64), starts[context + 1].astype(np.int64)
-            at, met = within(last, low, high, c.second[rows])
+            at, met = within(last, np.repeat(low, each), np.repeat(high, each), c.second[rows])
             counts[rows[met]] = read_counts(numbers, at[met])
             if not cold:
                 continue
-            row, stored_sums = _find(long, context.astype(np.uint32))
-            sums[rows[stored_sums]] = long_sums.reshape(-1, COLUMNS - 1)[row[stored_sums]]
-            rows, low, high = rows[~stored_sums], low[~stored_sums], high[~stored_sums]
+            own = np.zeros((len(context), COLUMNS - 1), np.int64)
+            row, kept = _find(long, context.astype(np.uint32))
+            own[kept] = long_sums.reshape(-1, COLUMNS - 1)[row[kept]]
             for k in range(LONG):
-                more = low + k < high
-                own = read_counts(numbers, low[more] + k)
-                sums[rows[more]] += np.stack([own, own == 1, own == 2, own > 2], axis=1)
+                more = np.flatnonzero(~kept & (low + k < high))
+                met = read_counts(numbers, low[more] + k)
+                own[more] += np.stack([met, met == 1, met == 2, met > 2], axis=1)
+            sums[rows] = np.repeat(own, each, axis=0)
         hot = known[c.first_count[known] >= self.hot]
         for (*lists, values), rows in self.in_buckets(
             "contexts", dealt(c.first[hot], c.before[hot], c.first_count[hot], self.bits, self.hot)
