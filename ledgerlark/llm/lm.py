@@ -215,7 +215,7 @@ def count_words(docs: DataFrame, bits: int, folder: str) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows(hashes: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
             return pd.DataFrame(
-                [(bucket, hashes[own].tobytes(), counts[own].tobytes()) for bucket, own in _by_bucket(_high(hashes, bits))],
+                [(bucket, packed(hashes[own]), packed(counts[own])) for bucket, own in _by_bucket(_high(hashes, bits))],
                 columns=["bucket", "keys", "counts"],
             )
 
@@ -231,10 +231,8 @@ def count_words(docs: DataFrame, bits: int, folder: str) -> DataFrame:
             yield rows(*_summed(*map(np.concatenate, zip(*kept))))
 
     def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        keys = np.frombuffer(b"".join(parts["keys"]), np.uint64)
-        counts = np.frombuffer(b"".join(parts["counts"]), np.uint64)
-        keys, counts = _summed(keys, counts)
-        row = (key[0], save(folder, keys), save(folder, counts), len(keys), int(counts.sum()))
+        keys, counts = _summed(unpacked(parts["keys"], np.uint64), unpacked(parts["counts"], np.uint64))
+        row = (key[0], save(folder, keys), save(folder, narrow(counts)), len(keys), int(counts.sum()))
         return pd.DataFrame([row], columns=["bucket", "keys", "counts", "size", "total"])
 
     counted = docs.select("text").mapInPandas(count, "bucket long, keys binary, counts binary")
@@ -303,7 +301,7 @@ def save_lists(folder: str, heads: np.ndarray, items: np.ndarray) -> list[str]:
     """Sorted (head, item) as distinct heads, where their lists begin, and the items."""
     begins = _begins(heads)
     starts = np.append(begins, len(heads))
-    return [save(folder, x) for x in (heads[begins].astype(np.uint32), starts.astype(np.uint64), items.astype(np.uint32))]
+    return [save(folder, x) for x in (heads[begins].astype(np.uint32), narrow(starts), items.astype(np.uint32))]
 
 
 def seek(arrays: list[np.ndarray], heads: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
