@@ -9,7 +9,7 @@ from datetime import date
 import pytest
 
 from ledgerlark import fixed
-from ledgerlark.operators import answers, questions, tools
+from ledgerlark.operators import answers, batch, questions, tools
 from ledgerlark.sources.star import SalesStar
 
 MESSAGE = "conv_id long, turn long, role string, text string"
@@ -240,3 +240,30 @@ def test_names_in_texts_and_across_seams_against_brute_force(spark):
         inside = sorted((-len(n), min(p for p, x, *_ in products if x == n), n) for n in names if n in text)
         assert found.get((conv, turn)) == (inside[0][2] if inside else None), (said, current)
     assert questions.product_in_context(frame, table.where("false")).count() == 0
+
+
+def test_tools_share_a_pass_and_do_not_meet_in_one_plan(spark, small_star, quality_run, monkeypatch):
+    """Revenue and comparisons read the facts once; the last plan joins written evidence only."""
+    made = []
+
+    class Counted(batch._Asked):
+        def __init__(self, *given):
+            made.append(given)
+            super().__init__(*given)
+
+    monkeypatch.setattr(batch, "_Asked", Counted)
+    span = '"start_date":"2025-09-09","end_date":"2025-09-11"'
+    pair = '"current_start":"2025-09-10","current_end":"2025-09-11","previous_start":"2025-08-20","previous_end":"2025-09-09"'
+    calls = [
+        ("get_revenue", "{%s}" % span),
+        ("compare_periods", '{"metric":"revenue",%s}' % pair),
+        ("get_data_quality", "{}"),
+    ]
+    found = tools.run_tools(spark.createDataFrame(calls, "tool string, arguments string"), small_star, quality_run)
+    assert len(made) == 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0
+    rows = {row.tool: row for row in found.collect()}
+    assert json.loads(rows["get_revenue"].result) == {"revenue_cents": 8800, "order_count": 5, "average_order_value_cents": 1760}
+    compared = json.loads(rows["compare_periods"].result)
+    assert (compared["current_value"], compared["previous_value"]) == (7600, 1600)
+    assert rows["get_data_quality"].status == "ok"
