@@ -230,9 +230,22 @@ def plan(asked: DataFrame, star: SalesStar) -> DataFrame:
         )
         .when(wants_amount | follows_up, "get_revenue")
     )
+    understood = asked.withColumns({"month": month, "date_min": date_min, "date_max": date_max}).withColumn("intent", intent)
+    # A question's history repeats up to eight texts; only those searched for a name take them along.
+    searched = F.col("intent") == "get_revenue"
     rows = stored(
-        asked.withColumns({"month": month, "date_min": date_min, "date_max": date_max})
-        .withColumn("intent", intent),
+        understood.select(
+            "conv_id",
+            "turn",
+            "problem",
+            "month",
+            "date_min",
+            "date_max",
+            "intent",
+            current.contains(fixed.STORE_WORD).alias("by_store"),
+            F.when(searched, current).alias("current"),
+            F.when(searched, F.col("said")).alias("said"),
+        ),
         "questions",
     )
     # Only questions that reach the product rule are searched for a name.
@@ -240,7 +253,6 @@ def plan(asked: DataFrame, star: SalesStar) -> DataFrame:
 
     first, last = month_range(F.year("date_max"), F.col("month"))
     this_month, month_before = month_of(F.col("date_max")), previous_month(F.col("date_max"))
-    by_store = current.contains(fixed.STORE_WORD)
     has_product = (F.col("intent") == "get_revenue") & F.col("product_name").isNotNull()
     tool = F.when(has_product | F.col("intent").isin(*fixed.TOOLS[1:]), F.col("intent"))
     arguments = (
@@ -259,7 +271,7 @@ def plan(asked: DataFrame, star: SalesStar) -> DataFrame:
         .when(
             F.col("intent") == "get_top_entities",
             _arguments(
-                dimension=F.when(by_store, "store_category").otherwise("product_category"),
+                dimension=F.when(F.col("by_store"), "store_category").otherwise("product_category"),
                 metric=F.lit("revenue"),
                 start_date=iso(F.col("date_min")),
                 end_date=iso(F.col("date_max")),
