@@ -247,9 +247,9 @@ def test_tools_share_a_pass_and_do_not_meet_in_one_plan(spark, small_star, quali
     made = []
 
     class Counted(batch._Asked):
-        def __init__(self, *given):
+        def __init__(self, *given, **named):
             made.append(given)
-            super().__init__(*given)
+            super().__init__(*given, **named)
 
     monkeypatch.setattr(batch, "_Asked", Counted)
     span = '"start_date":"2025-09-09","end_date":"2025-09-11"'
