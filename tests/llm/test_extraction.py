@@ -152,3 +152,29 @@ def test_equal_suffixes_across_partitions(spark):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_runs_inside_of_articles_and_over_them(spark):
+    """Every token opens a suffix, in articles too: runs that begin within blocks, or go over blocks, are found."""
+    ends = "ask the editor", "before you copy any of this text"
+    rows, want = [], {}
+
+    def page(host, source, text):
+        want[len(rows)] = text
+        rows.append((len(rows), f"http://{host}/{len(rows)}", source))
+
+    for i in range(12):  # a notice in two blocks, one of them shorter than a run; blocks that only begin like it stay
+        own, other = words(i, 30), f"{ends[0]} {ends[1]} and {words(50 + i, 9)}"
+        page("a.org", f"<article><p>{own}</p><p>{other}</p><p>{ends[0]}</p><p>{ends[1]}</p></article>", f"{own}\n\n{other}")
+    teaser = words(300, 9)
+    for i in range(2):  # what pages without an article repeat from articles
+        page("b.org", f"<article><p>{teaser}</p><p>{words(100 + i)}</p></article>", f"{teaser}\n\n{words(100 + i)}")
+    page("b.org", f"<p>{teaser}</p><p>{words(102)}</p>", words(102))
+    for joined in (False, True):
+        before = extraction.REPEATED_SENT
+        extraction.REPEATED_SENT = -1 if joined else before
+        try:
+            got = {r.page_id: r.text for r in extraction.extracted(spark.createDataFrame(rows, PAGES)).collect()}
+        finally:
+            extraction.REPEATED_SENT = before
+        assert got == want
