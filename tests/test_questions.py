@@ -267,3 +267,31 @@ def test_tools_share_a_pass_and_do_not_meet_in_one_plan(spark, small_star, quali
     compared = json.loads(rows["compare_periods"].result)
     assert (compared["current_value"], compared["previous_value"]) == (7600, 1600)
     assert rows["get_data_quality"].status == "ok"
+
+
+def test_trends_share_the_pass_over_the_facts(spark, small_star, quality_run, monkeypatch):
+    """Revenue, comparisons and trends read the facts once, whatever their filters; reversed ranges ask for nothing."""
+    made = []
+
+    class Counted(batch._Asked):
+        def __init__(self, *given, **named):
+            made.append(given)
+            super().__init__(*given, **named)
+
+    monkeypatch.setattr(batch, "_Asked", Counted)
+    span = '"start_date":"2025-09-09","end_date":"2025-09-11"'
+    calls = [
+        ("get_revenue", '{%s,"store_id":"n1"}' % span),
+        ("get_trend", '{"metric":"order_count",%s,"filters":{"product_name":"豆浆"}}' % span),
+        ("get_trend", '{"metric":"revenue","start_date":"2025-08-01","end_date":"2025-09-10"}'),
+        ("get_trend", '{"metric":"revenue","start_date":"2025-09-11","end_date":"2025-09-09"}'),
+    ]
+    found = tools.run_tools(spark.createDataFrame(calls, "tool string, arguments string"), small_star, quality_run).collect()
+    assert len(made) == 1
+    got = {row.arguments: row.result and json.loads(row.result) for row in found}
+    assert got[calls[0][1]] == {"revenue_cents": 4800, "order_count": 2, "average_order_value_cents": 2400}
+    assert got[calls[1][1]]["points"] == [{"date": "2025-09-10", "value": 1}, {"date": "2025-09-11", "value": 2}]
+    assert got[calls[2][1]]["points"] == [
+        {"date": "2025-08-20", "value": 400}, {"date": "2025-09-09", "value": 1200}, {"date": "2025-09-10", "value": 4400}
+    ]
+    assert got[calls[3][1]] is None
